@@ -7,50 +7,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, keep, small_side, table
+from .words import U, batches, hashes, spans
+from .words import mix as _mix
 
-#: Sizes of one band differ by this ratio at most.
-BAND = 1.35
 #: Bits of the sketch that screens pairs of one bucket, and rows of a bucket compared at once.
 SKETCH, CHUNK = 1024, 2048
-U = np.uint64
 
 
-class _Words(dict):
-    """64-bit hashes of words, with a bound on what is remembered."""
+#: Odd multipliers of the words of a shingle, by place.
+_PLACE = np.random.default_rng(5).integers(1, 1 << 62, 64, dtype=np.int64).astype(U) * U(2) + U(1)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
 
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(33))) * U(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> U(33))) * U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> U(33))
-
-
-def shingles(text: str | None, n: int, words: dict) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's word n-grams.
+def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's word n-grams.
 
     Lower-cases A-Z and takes words between white space (space, tab to CR). With fewer than n
     words the whole sequence is the one shingle; without words there is none.
     """
-    w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not w:
-        return np.zeros(0, U)
-    h = np.fromiter(map(words.__getitem__, w), U, len(w))
-    k = min(n, len(h))
-    s = np.full(len(h) - k + 1, U((0x9E3779B97F4A7C15 * (n - k + 1)) & 0xFFFFFFFFFFFFFFFF))
-    for i in range(k):
-        s = _mix(s * U(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return np.unique(s)
+    data, starts, ends, first = spans(texts)
+    h = hashes(data, starts, ends)
+    whole = np.zeros(max(0, len(h) - n + 1), U)
+    for i in range(n if len(whole) else 0):
+        whole += h[i : len(h) - n + 1 + i] * _PLACE[i]
+    whole = _mix(whole)
+    out = []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        if b - a >= n:
+            x = np.sort(whole[a : b - n + 1])
+            new = np.empty(len(x), bool)
+            new[0] = True
+            np.not_equal(x[1:], x[:-1], out=new[1:])
+            out.append(x[new])
+        elif b > a:
+            out.append(_mix(np.sum(h[a:b] * _PLACE[: b - a], dtype=U, keepdims=True) + U(b - a)))
+        else:
+            out.append(np.zeros(0, U))
+    return out
 
 
 class Blocks:
@@ -62,54 +58,54 @@ class Blocks:
     agree in a block. Sizes fall into bands; a set takes part in its own band, and in the next
     one if a partner can be there, with that band's blocks. A block's bits are kept as the XOR of
     its elements' 64-bit hashes, which is a digest of exactly those parities. Blocks without
-    elements say little: bands have as many blocks more as a set has empty ones, but for rare
-    sets, which then keep theirs.
+    elements say little: a set leaves them out if it has fewer than must agree with any partner,
+    and bands have a few blocks more so that nearly all sets do.
     """
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        #: Sizes of one band differ by this ratio at most.
+        self.ratio = (den / num) ** 3.2 if num < den else 2.0
         self.cache: dict[int, tuple[int, int, int]] = {}
 
     def distance(self, a: int, b: int) -> int:
         return (self.den - self.num) * (a + b) // (self.den + self.num)
 
     def band(self, size: int) -> int:
-        i = int(math.log(size) / math.log(BAND))
+        i = int(math.log(size) / math.log(self.ratio))
         while self.start(i + 1) <= size:
             i += 1
         while self.start(i) > size:
             i -= 1
         return i
 
-    @staticmethod
-    def start(i: int) -> int:
-        return math.ceil(BAND**i)
+    def start(self, i: int) -> int:
+        return math.ceil(self.ratio**i)
 
     def of(self, i: int) -> tuple[int, int, int]:
-        """(blocks, empty blocks allowed, smallest size that takes part) of band i."""
+        """(blocks, smallest size that takes part, largest) of band i."""
         if i not in self.cache:
-            most = self.distance(self.start(i + 1) - 1, self.start(i + 1) - 1)
-            low = -(-self.start(i) * self.num // self.den)
-            spare = 0
-            for _ in range(6):
-                k = most + 1 + spare
-                mean = k * math.exp(-low / k)
-                spare = math.ceil(mean + 4 * math.sqrt(mean) + 1) if k > 1 and mean > 1e-3 else 0
-            self.cache[i] = (most + 1 + spare, spare, low)
+            high = self.start(i + 1) - 1
+            most = self.distance(high, high)
+            empty = (most + 1) * math.exp(-high / (most + 1))
+            spare = math.ceil(empty + 3 * math.sqrt(empty) + 1) if most else 0
+            self.cache[i] = (most + 1 + spare, -(-self.start(i) * self.num // self.den), high)
         return self.cache[i]
 
     def keys(self, s: np.ndarray) -> np.ndarray:
         """Join keys of a set of sorted hashes: two linked sets have one in common."""
         out, own = [], self.band(len(s))
         for i in (own, own + 1):
-            k, spare, low = self.of(i)
+            k, low, high = self.of(i)
             if i > own and len(s) < low:
                 continue
             block = ((s >> U(32)) * U(k)) >> U(32)
             first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             digest = np.bitwise_xor.reduceat(_mix(s ^ U(0xA5A5A5A5DEADBEEF)), first)
             which = block[first]
-            if k - len(first) > spare:
+            # blocks that must agree with any partner, less one
+            sure = k - 1 - self.distance(len(s), min(high, len(s) * self.den // self.num))
+            if k - len(first) > sure:
                 empty = np.setdiff1d(np.arange(k, dtype=U), which)
                 which, digest = np.concatenate([which, empty]), np.concatenate([digest, np.zeros(len(empty), U)])
             out.append(_mix(digest + which * U(0xD6E8FEB86659FD93) + U((i + 1) * 0xCA5A826395121157 & 0xFFFFFFFFFFFFFFFF)))
@@ -122,27 +118,43 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))
 
 
-def _profiles(docs: DataFrame, n: int, blocks: Blocks | None) -> DataFrame:
-    """(doc_id, fp, n) and keys, or set and sketch, of each row; fp is a hash of the set."""
-    out = "doc_id long, fp long, n long, " + ("keys array<long>" if blocks else "shingles array<long>, sketch binary")
+def _each(docs: DataFrame, n: int, shape: str, make) -> DataFrame:
+    """What ``make`` gives for (ids, fingerprints of sets, sets) of some rows at a time."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
         for whole in parts:
-            for start in range(0, whole.num_rows, 1000):
-                p = whole.slice(start, 1000)
-                sets = [shingles(t, n, words) for t in p.column(1).to_pylist()]
+            texts = whole.column(1).to_pylist()
+            for x, y in batches(texts):
+                sets = shingle_sets(texts[x:y], n)
                 fp = np.array([int(np.add.reduce(_mix(s + U(0x1234567)), dtype=U)) ^ len(s) for s in sets], U).view(np.int64)
-                cols = [p.column(0), pa.array(fp), pa.array([len(s) for s in sets], pa.int64())]
-                names = ["doc_id", "fp", "n"]
-                if blocks:
-                    cols, names = [*cols, _lists([blocks.keys(s) if len(s) else s for s in sets])], [*names, "keys"]
-                else:
-                    bits = [np.packbits((np.bincount((s & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes() for s in sets]
-                    cols, names = [*cols, _lists(sets), pa.array(bits, pa.binary())], [*names, "shingles", "sketch"]
-                yield pa.RecordBatch.from_arrays(cols, names)
+                yield pa.RecordBatch.from_pydict(make(whole.column(0).slice(x, y - x), fp, sets))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, shape)
+
+
+def _profiles(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, fp, n) of each row; fp is a hash of the set, n its size."""
+    return _each(docs, n, "doc_id long, fp long, n long", lambda ids, fp, sets: {"doc_id": ids, "fp": pa.array(fp), "n": pa.array([len(s) for s in sets], pa.int64())})
+
+
+def _keys(docs: DataFrame, n: int, blocks: Blocks) -> DataFrame:
+    """(key, fp) for each join key of each row."""
+
+    def make(ids, fp, sets):
+        keys = [blocks.keys(s) if len(s) else s for s in sets]
+        return {"key": pa.array(np.concatenate(keys).view(np.int64)), "fp": pa.array(np.repeat(fp, [len(k) for k in keys]))}
+
+    return _each(docs, n, "key long, fp long", make)
+
+
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """(fp, n, shingles, sketch) of each row; the sketch has the parities of SKETCH bits."""
+
+    def make(ids, fp, sets):
+        bits = [np.packbits((np.bincount((s & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes() for s in sets]
+        return {"fp": pa.array(fp), "n": pa.array([len(s) for s in sets], pa.int64()), "shingles": _lists(sets), "sketch": pa.array(bits, pa.binary())}
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, out)
+    return _each(docs, n, "fp long, n long, shingles array<long>, sketch binary", make)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -229,12 +241,12 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     where no other row of its component has an id. Other columns are ignored.
     """
     blocks = Blocks(num, den)
-    rows = keep(_profiles(docs, n, blocks), "profiles")
-    first = keep(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "nodes")
-    again = rows.where("n > 0").join(small_side(keep(first.where("copies > 1").select("fp", F.col("doc_id").alias("_first")), "repeated")), "fp", "left")
-    nodes = again.where("_first IS NULL OR doc_id <=> _first").select("fp", "n", "keys")
+    rows = keep(_profiles(docs, n), "profiles")
+    first = keep(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    copies = rows.select("doc_id").distinct().join(first.select("doc_id"), "doc_id", "left_anti").select(F.col("doc_id").alias("_id"))
+    single = docs.select("doc_id", "text").join(small_side(keep(copies, "copies")), F.col("doc_id") == F.col("_id"), "left_anti")
     bucket = Window.partitionBy("key").orderBy("fp")
-    seen = nodes.select("fp", F.explode("keys").alias("key")).select(
+    seen = _keys(single, n, blocks).select(
         "key", "fp", F.first("fp").over(bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("leader"),
         F.lag("fp").over(bucket).alias("before"), F.lead("fp").over(bucket).alias("after"))
     shared = keep(seen.where("(before IS NOT NULL AND before <> fp) OR (after IS NOT NULL AND after <> fp)").select("key", "fp", "leader", "before"), "shared")
@@ -243,7 +255,7 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
 
     wanted = keep(shared.select("fp").distinct().join(first, "fp").select("fp", F.col("doc_id").alias("_id")), "wanted")
     texts = docs.select("doc_id", "text").join(small_side(wanted.select("_id").distinct()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = keep(_profiles(texts, n, None).join(small_side(wanted.select("fp").distinct()), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    sets = keep(_sets(texts, n).join(small_side(wanted.select("fp").distinct()), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
     links = keep(_verified(pairs, sets, num, den), "links")
     comps = components(links)
 
