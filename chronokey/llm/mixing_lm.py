@@ -16,6 +16,8 @@ from .words import U, batches, hashes, spans
 
 #: Words that are one symbol (others are spelt in bytes), and slots of a context's hash table.
 VOCABULARY, SLOT_BITS = 1 << 17, 22
+#: The most frequent words, of which the last one seen is a context.
+COMMON = 64
 #: Entries of a hash table that travel together, and characters handled at once.
 CHUNK, SLICE = 1 << 16, 1 << 18
 #: Symbols after which a document's weights are refined: 64, 64, 128, ... up to this many.
@@ -76,7 +78,8 @@ class Coder:
         self.path = np.concatenate([w[1], b[1] + 2 * nodes]).astype(np.int32)
         self.size = np.diff(self.offset)
         self.prior = np.log(np.concatenate([w[3], b[3]]) + 0.5).astype(np.float32) - np.log(np.concatenate([w[2], b[2]]) + 0.5).astype(np.float32)
-        self.shift = np.uint32(32 - slot_bits)
+        self.shift = np.uint32(33 - slot_bits)
+        self.words = nodes
         # words by hash: open addressing, a quarter full
         self.bits = max(4, (4 * k - 1).bit_length())
         self.keys, self.ids = np.zeros(1 << self.bits, U), np.full(1 << self.bits, -1, np.int32)
@@ -124,19 +127,27 @@ class Coder:
         return sym, begin, ids
 
     def contexts(self, sym: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
-        """Hashes of what stands before each symbol: one symbol, and two (three for bytes)."""
+        """Two hashes of what stands before each symbol. Of a word: the last very common word
+        (which tells the language or kind of text), and the last two symbols. Of a byte: the
+        last two symbols, and the last four."""
+        m = np.uint32
         s = sym.astype(np.uint32)
-        one = np.concatenate([[self.end], s[:-1]]).astype(np.uint32)
-        one[begin[:-1]] = self.end
-        two = np.concatenate([[self.end], one[:-1]]).astype(np.uint32)
-        two[begin[:-1]] = self.end
-        three = np.concatenate([[self.end], two[:-1]]).astype(np.uint32)
-        three[begin[:-1]] = self.end
         spelt = sym >= self.byte
-        m = np.uint32
-        b = (one * m(0x9E3779B1) + two + m(77)) * m(0x85EBCA6B)
-        b = np.where(spelt, (b ^ (b >> m(15))) * m(0xC2B2AE35) + three * m(0x27D4EB2F), b)
-        return [(one + m(1)) * m(0x2C1B3C6D) ^ m(0x5BD1E995), b ^ (b >> m(13))]
+        before = []
+        last = s
+        for _ in range(4):
+            last = np.concatenate([[self.end], last[:-1]]).astype(np.uint32)
+            last[begin[:-1]] = self.end
+            before.append(last)
+        at = np.where(sym < COMMON, np.arange(len(sym)), 0)
+        at[begin[:-1]] = begin[:-1]
+        at = np.concatenate([[0], np.maximum.accumulate(at)[:-1]])
+        at[begin[:-1]] = begin[:-1]
+        common = np.where((sym[at] < COMMON) & (at < np.arange(len(sym))), s[at], m(COMMON))
+        two = (before[0] * m(0x9E3779B1) + before[1] + m(77)) * m(0x85EBCA6B)
+        two ^= two >> m(13)
+        four = ((two ^ before[2]) * m(0xC2B2AE35) + before[3]) * m(0x27D4EB2F)
+        return [np.where(spelt, two, (common + m(5)) * m(0x2C1B3C6D) ^ m(0x1234567)), np.where(spelt, four ^ (four >> m(15)), two)]
 
     def decisions(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(2 * node + bit of every decision, place of its symbol)."""
@@ -147,13 +158,17 @@ class Coder:
 
     def slots(self, context: np.ndarray, node: np.ndarray) -> np.ndarray:
         x = (context + node.astype(np.uint32) * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B)
-        return (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> self.shift
+        x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> self.shift
+        return x | (node >= self.words).astype(np.uint32) << (np.uint32(32) - self.shift)  # half a table for bytes
 
 
 #: First weights of (prior, one symbol, two symbols) for what the two tables know of a decision:
 #: nothing, little, much and mixed, much and always the same.
-_A, _B = np.array([0, 0.25, 0.65, 0.6], np.float32), np.array([0, 0.3, 0.4, 0.8], np.float32)
-FIRST = np.stack([np.maximum(0.08, 1 - np.repeat(_A, 4) * 1.05 - np.tile(_B, 4) * 0.9), np.repeat(_A, 4) * (1 - 0.6 * np.tile(_B, 4)), np.tile(_B, 4)], 1).astype(np.float32)
+FIRST = np.array([
+    [1.0, 0.0, 0.0], [1.0, 0.0, 0.1], [0.8, 0.0, 0.2], [0.8, 0.0, 0.3],
+    [0.7, 0.4, 0.0], [0.7, 0.4, 0.1], [0.6, 0.4, 0.2], [0.6, 0.4, 0.3],
+    [0.4, 0.75, 0.0], [0.4, 0.75, 0.1], [0.06, 0.67, 0.5], [0.2, 0.8, 0.3],
+    [0.4, 0.8, 0.0], [0.4, 0.8, 0.1], [0.3, 0.7, 0.2], [0.3, 0.8, 0.3]], np.float32)
 
 
 def packed(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
