@@ -73,6 +73,6 @@ def mann_whitney(samples: DataFrame, group: str, value: str, a: str, b: str) ->
     n = F.col("n_a") + F.col("n_b")
     r = r.withColumn("u", F.col("rank_sum") - F.col("n_a") * (F.col("n_a") + 1) / 2)
     var = F.col("n_a") * F.col("n_b") / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1)))
-    z = (F.greatest(F.abs(F.col("u") - F.col("n_a") * F.col("n_b") / 2) - 0.5, F.lit(0.0))) / F.sqrt(var)
+    z = (F.greatest(F.abs(F.col("u") - F.col("n_a") * F.col("n_b") / 2) - 0.5, F.lit(0.0))) / F.sqrt(F.nullif(var, F.lit(0.0)))
     p = F.when((F.col("n_a") < 3) | (F.col("n_b") < 3), F.lit(float("nan"))).when(var <= 0, 1.0).otherwise(_erfc(z / F.sqrt(F.lit(2.0))))
     return r.select("n_a", "n_b", "rank_sum", "u", p.alias("p"))

@@ -72,8 +72,8 @@ def murmur_sql(rows: str) -> str:
     """CTEs that end in ``hashed`` (x, h: 16 hex digits) of ``rows`` (x)."""
     return f"""raw AS ({rows}),
 bytes AS (SELECT x, octet_length(x::BLOB) AS n, list_transform(range(octet_length(x::BLOB)), lambda i: ('0x' || substr(hex(x), 2 * i::INTEGER + 1, 2))::UBIGINT) AS b FROM raw),
-block AS (SELECT x, n, b, list_transform(range(n // 8), lambda k: list_sum(list_transform(range(8), lambda j: b[8 * k + j + 1]::UHUGEINT << (8 * j)::UHUGEINT))::UBIGINT) AS k,
-  coalesce(list_sum(list_transform(range(n % 8), lambda j: b[8 * (n // 8) + j + 1]::UHUGEINT << (8 * j)::UHUGEINT)), 0)::UBIGINT AS tail FROM bytes),
+block AS (SELECT x, n, b, list_transform(range(n // 8), lambda k: list_reduce(list_transform(range(8), lambda j: b[8 * k + j + 1]::UHUGEINT << (8 * j)::UHUGEINT), lambda p, q: p + q)::UBIGINT) AS k,
+  list_reduce(list_prepend(0::UHUGEINT, list_transform(range(n % 8), lambda j: b[8 * (n // 8) + j + 1]::UHUGEINT << (8 * j)::UHUGEINT)), lambda p, q: p + q)::UBIGINT AS tail FROM bytes),
 m1 AS (SELECT x, n, tail, list_transform(list_transform(k, lambda v: {_mul('v')}), lambda v: {_mul(_shift('v'))}) AS k FROM block),
 m2 AS (SELECT x, n, tail, list_reduce(list_prepend({_mul('n::UBIGINT')}, k), lambda a, v: {_mul('xor(a, v)')}) AS h FROM m1),
 m3 AS (SELECT x, CASE WHEN n % 8 > 0 THEN {_mul('xor(h, tail)')} ELSE h END AS h FROM m2),
