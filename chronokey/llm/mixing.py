@@ -37,7 +37,9 @@ def targets(sizes: DataFrame, most: float = 3.0, period: int = 3) -> DataFrame:
     after, before = by.rowsBetween(0, Window.unboundedFollowing), by.rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("left", F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
     s = s.withColumn("level", F.try_divide("left", F.sum("weight").over(after)))
-    level = F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(Window.partitionBy())
+    # the first source that isn't full at the level that it and those after it would share
+    s = s.withColumn("place", F.row_number().over(by))
+    level = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("place", "level"))).over(Window.partitionBy())["level"]
     s = s.withColumn("target", F.least(F.col("cap"), F.coalesce(level, F.lit(float("inf"))) * F.col("weight")))
     return s.select("source", "source_size", "target")
 
@@ -49,7 +51,8 @@ def mix(docs: DataFrame, size: Column | None = None, seed: str = "mix") -> DataF
     each document floor(T / S) times, and once more those whose hash lies below the threshold
     that brings the rest T - floor(T / S) * S; the threshold comes from sums by source and hash
     bucket, of which only the boundary bucket is looked at again, 12 bits a round, until the hash
-    has no more bits. Nothing is sorted and no source meets in one task.
+    has no more bits. The document at the threshold gives what is then left to the target (documents
+    of one id share it by size). Nothing is sorted and no source meets in one task.
 
     Defined results: null or empty texts have size 0 and taken 0; a null source is a source of
     its own, the last; rows with equal doc_id go together; an empty table gives an empty one. A
@@ -62,16 +65,23 @@ def mix(docs: DataFrame, size: Column | None = None, seed: str = "mix") -> DataF
 
 
 def take(rows: DataFrame, plan: DataFrame, size: str, h: str) -> DataFrame:
-    plan = plan.select(F.col("source").alias("_source"), "source_size", "target", "times", "upto")
+    plan = plan.select(F.col("source").alias("_source"), "source_size", "target", "times", "upto", "part", "edge")
     out = rows.join(small_side(plan), F.col("source").eqNullSafe(F.col("_source")))
-    return out.withColumn("taken", F.col(size) * (F.col("times") + (F.col(h) < F.col("upto")).cast("long"))).drop("_source", "times", "upto")
+    return out.withColumn("taken", F.col(size) * F.col("times") + once(size, h)).drop("_source", "times", "upto", "part", "edge")
+
+
+def once(size: str, h: str) -> Column:
+    """Words taken besides whole rounds: all below the threshold; at it, the share that is left."""
+    part = F.expr(f"({size} * part) div nullif(edge, 0)")
+    return F.when(F.col(h) < F.col("upto"), F.col(size)).when(F.col(h) == F.col("upto"), F.coalesce(part, F.lit(0))).otherwise(0).cast("long")
 
 
 def repeat(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns only."""
+    """The mix itself: each row of ``docs`` as often as it is taken (a part of a row at the
+    threshold counts as one if it is at least half), with its own columns only."""
     mixed = mix(docs.withColumnRenamed("size", "_own_size"), seed=seed) if "size" in docs.columns else mix(docs, seed=seed)
-    copies = F.coalesce(F.try_divide("taken", "size"), F.lit(0)).cast("int")
-    out = mixed.where("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
+    copies = F.round(F.coalesce(F.try_divide("taken", "size"), F.lit(0.0))).cast("int")
+    out = mixed.where("2 * taken >= size AND size > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
     return out.select(*[F.col("_own_size" if c == "size" else c).alias(c) for c in docs.columns])
 
 
@@ -81,7 +91,7 @@ def thresholds(slim: DataFrame) -> DataFrame:
     plan = targets(sizes).withColumn("times", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
     plan = plan.withColumn("rest", F.col("target") - F.col("times") * F.col("source_size"))
     # [lo, lo + 2^left) is the boundary bucket; below it lie `below` words, all taken
-    plan = keep(plan.withColumn("lo", F.lit(0).cast("long")).withColumn("below", F.lit(0).cast("long")), "targets")
+    plan = keep(plan.withColumn("lo", F.lit(0).cast("long")).withColumn("below", F.lit(0).cast("long")).withColumn("edge", F.lit(None).cast("long")), "targets")
     for left in range(HASH_BITS, 0, -ROUND_BITS):
         width = 1 << (left - ROUND_BITS)
         at = plan.select(F.col("source").alias("_s"), "lo", "below", "rest")
@@ -91,12 +101,13 @@ def thresholds(slim: DataFrame) -> DataFrame:
         fits = sums.withColumn("upto", F.col("below") + upto).where("upto <= rest")
         # the boundary is the bucket after the last that fits whole; empty buckets between hold nothing
         last = fits.groupBy("source").agg(F.max("b").alias("b"), F.max("upto").alias("upto")).withColumnRenamed("source", "_s")
-        moved = plan.join(last, F.col("source").eqNullSafe(F.col("_s")), "left")
-        first = sums.withColumn("upto", F.col("below") + upto).where("upto > rest").groupBy("source").agg(F.min("b").alias("nb")).withColumnRenamed("source", "_f")
+        moved = plan.drop("edge").join(last, F.col("source").eqNullSafe(F.col("_s")), "left")
+        first = sums.withColumn("upto", F.col("below") + upto).where("upto > rest").groupBy("source").agg(F.min("b").alias("nb"), F.min_by("w", "b").alias("edge")).withColumnRenamed("source", "_f")
         moved = moved.join(first, F.col("source").eqNullSafe(F.col("_f")), "left")
         step = F.coalesce(F.col("nb"), F.when(F.col("b").isNotNull(), F.col("b") + 1), F.lit(0))
-        plan = keep(moved.select("source", "source_size", "target", "times", "rest", (F.col("lo") + step * F.lit(width)).alias("lo"), F.coalesce("upto", "below").alias("below")), "round")
-    return plan.select("source", "source_size", "target", "times", F.col("lo").alias("upto"))
+        plan = keep(moved.select("source", "source_size", "target", "times", "rest", (F.col("lo") + step * F.lit(width)).alias("lo"), F.coalesce("upto", "below").alias("below"), "edge"), "round")
+    part = F.floor(F.col("rest") - F.col("below")).cast("long")
+    return plan.select("source", "source_size", "target", "times", F.col("lo").alias("upto"), part.alias("part"), "edge")
 
 
 def op9_mix(spark, sf_dir: str) -> DataFrame:
@@ -117,13 +128,15 @@ w AS (SELECT *, ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 +
 o AS (SELECT *, cap / weight AS full_at,
         (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS rest,
         sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wsum FROM w),
-l AS (SELECT min(CASE WHEN rest / wsum <= full_at THEN rest / wsum END) AS level FROM o),
+l AS (SELECT min_by(rest / wsum, (full_at, source IS NULL, source)) FILTER (WHERE rest / wsum <= full_at) AS level FROM o),
 t AS (SELECT source, source_size, least(cap, coalesce(level, 'inf'::DOUBLE) * weight) AS target FROM o, l),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS times FROM t),
 c AS (SELECT d.*, p.source_size, p.target, p.times,
-        sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+        sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+        sum(size) OVER (PARTITION BY d.source, h) AS edge
       FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target,
-       (size * (times + CASE WHEN upto <= target - times * source_size THEN 1 ELSE 0 END))::BIGINT AS taken, source
+       (size * times + CASE WHEN upto <= target - times * source_size THEN size
+          WHEN upto - edge <= target - times * source_size THEN (size * floor(target - times * source_size - (upto - edge))::BIGINT) // edge ELSE 0 END)::BIGINT AS taken, source
 FROM c
 """

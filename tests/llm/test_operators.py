@@ -1,0 +1,245 @@
+"""The training-data operators against brute force, and on odd rows."""
+
+import html
+import itertools
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from chronokey.llm import html_text, mixing, mixing_lm, near_vectors, ngram_join, packing, prefix_forest, quality, sharding, token_counts
+
+DIR = "/root/testdata/sf0.001"
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _h long, size string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty, blank and long texts, repeated rows, clashing column names."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, "a b c d e f", "en", "s", 1, 7, "x"), (1, "a b c d e f", "en", "s", 1, 7, "x"), (2, None, None, None, None, None, None), (3, "", "en", None, 0, 1, "y"), (4, " \n\t", "de", "s", 3, 1, "y"), (None, "a b c d e f", "en", "t", 1, 1, "z"), (5, long, "en", "t", 1, 1, "z"), (6, long + " end", "en", "s", 1, 1, "z"), (7, "é ü   x", "fr", "s", 1, 1, "z")]
+    return spark.createDataFrame(rows, ODD)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def components(nodes, links):
+    low = {n: n for n in nodes}
+    while True:
+        before = dict(low)
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+        if before == low:
+            return low
+
+
+@pytest.mark.parametrize("n,num", [(3, 90), (5, 80)])
+def test_ngram_join(spark, n, num):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(10_000)
+    base = "one two three four five six seven eight nine ten eleven twelve".split()
+    more = [(10_000 + i, " ".join(base[:k] + ["x"] * (i % 3))) for i, k in enumerate(range(1, 13))]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    sets = {}
+    for r in docs.collect():
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
+        sets[r["doc_id"]] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    want = components(sets, links)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link(docs, n, num).collect()}
+    assert got == {i: (len(s), want[i]) for i, s in sets.items()} and links
+
+
+def test_blocks_agree():
+    r = np.random.default_rng(1)
+    for num, size in itertools.product((80, 90), (1, 5, 12, 40, 200, 1000)):
+        b = ngram_join.Blocks(num, 100)
+        for _ in range(30):
+            a = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
+            room = b.distance(len(a), len(a)) // 2
+            cut = int(r.integers(0, room + 1))
+            other = np.unique(np.concatenate([a[cut:], r.integers(0, 2**63, cut).astype(np.uint64)]))
+            both = len(np.intersect1d(a, other))
+            if 100 * both >= num * (len(a) + len(other) - both):
+                assert np.intersect1d(b.keys(a), b.keys(other)).size
+
+
+def test_odd_join(odd):
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in ngram_join.link(odd, 3, 90).collect())
+    assert got == [(0, 4, 1), (1, 4, 1), (1, 4, 1), (2, 0, 2), (3, 0, 3), (4, 0, 4), (5, 29_998, 5), (6, 29_999, 5), (7, 2, 7)]
+    assert sorted(r["doc_id"] or 0 for r in ngram_join.keep_one(odd, 3, 90).collect()) == [0, 1, 2, 3, 4, 5, 7]
+    assert ngram_join.link(odd.limit(0)).count() == 0
+
+
+def test_sharding(spark, odd, tmp_path):
+    for docs, k in ((spark.read.parquet(f"{DIR}/documents.parquet"), 5), (odd, 3), (odd.limit(0), 3)):
+        size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
+        tree, _ = sharding.build(docs, sharding.metadata(), size, F.struct("doc_id", "text"), shards=k)
+        rows = docs.select(tree.shard().alias("shard"), size.alias("b")).collect()
+        assert len(rows) == docs.count() and all(0 <= r["shard"] < k for r in rows)
+    got = sharding.op1_kd_shards(spark, DIR, 8).toPandas()
+    per = got.groupby("shard")["size"].sum()
+    assert len(per) == 8 and per.max() - per.min() <= 2 * got["size"].max() and (got.groupby("shard").slot.agg(lambda s: sorted(s) == list(range(len(s))))).all()
+    text = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    assert all(zlib.crc32(text[i]) == c for i, c in zip(got.doc_id, got.text_crc32, strict=True))
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    sharding.write_shards(docs, str(tmp_path / "out"), 60_000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.drop("shard").select(*docs.columns).exceptAll(docs).count() == 0 and back.count() == docs.count()
+
+
+def test_packing(spark, odd):
+    lengths, counts = np.array([1, 2, 7, 8, 20, 21, 40]), np.array([5, 1, 3, 4, 2, 2, 1])
+    for k in (1, 2, 3, 4):
+        cost = lambda cut: sum(c * (min(b for b in cut if b >= n) - n) for n, c in zip(lengths, counts, strict=True))
+        best = min(cost((*c, 40)) for c in itertools.combinations(lengths[:-1].tolist(), k - 1))
+        assert cost(packing.optimal_bounds(lengths, counts, k)) == best
+    got = packing.op2_packing(spark, DIR).toPandas()
+    assert len(got) == 200 and (got.n_tokens <= got.bucket_len).all()
+    per = got.groupby(["bucket", "batch"]).agg(n=("doc_id", "count"), L=("bucket_len", "first"))
+    assert ((per.n * per.L <= 16384) | (per.n == 1)).all()
+    odd_rows = packing.pack(odd, budget=100)
+    assert odd_rows.count() == 9 and packing.pack(odd.limit(0)).count() == 0
+
+
+def test_mixing(spark, odd):
+    got = mixing.op9_mix(spark, DIR).toPandas()
+    share = got.groupby("source").agg(s=("source_size", "first"), t=("target", "first"), k=("taken", "sum"))
+    level = np.array([i % 3 + 1.0 for i in range(len(share))])
+    want, total = np.zeros(len(share)), share.s.sum()
+    open_ = np.ones(len(share), bool)
+    while True:
+        want[open_] = (total - want[~open_].sum()) * level[open_] / level[open_].sum()
+        over = open_ & (want > 3 * share.s.to_numpy() + 1e-9)
+        if not over.any():
+            break
+        want[over] = 3 * share.s.to_numpy()[over]
+        open_ &= ~over
+    assert np.allclose(share.t, want) and (got.taken <= 3 * got["size"]).all()
+    assert (share.k <= share.t + 1e-6).all() and (share.t - share.k <= got.groupby("source")["size"].max()).all()
+    r = {(x["doc_id"], x["source"]): x for x in mixing.mix(odd.drop("size")).collect()}
+    assert r[(2, None)]["taken"] == 0 and mixing.repeat(odd).columns == odd.columns and mixing.mix(odd.drop("size").limit(0)).count() == 0
+
+
+def test_quality(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = quality.score(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
+    assert (got.predicted == got.quality).mean() > 0.95
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
+    none = quality.score(odd, labels.limit(0)).toPandas()
+    assert len(none) == 9 and none.score.between(0, 1).all() and quality.score(odd.limit(0), labels).count() == 0
+    y = quality.isotonic(np.array([1.0, 3.0, 2.0, 2.0, 5.0, 4.0]), np.ones(6))
+    assert np.allclose(y, [1, 7 / 3, 7 / 3, 7 / 3, 4.5, 4.5])
+
+
+def test_language_model(spark, odd):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    got = mixing_lm.score(docs, 1 << 10, 16).toPandas().set_index("doc_id")
+    tokens = {r["doc_id"]: [*(r["text"] or "").encode().lower().split(), None] for r in docs.collect()}
+    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(t for i in train for t in tokens[i])
+    n, v = sum(c.values()), len(c)
+    for i, t in tokens.items():
+        assert math.isclose(got.base_score[i], sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), rel_tol=1e-9)
+        assert (got.n_tokens[i], got.n_known[i], got.train_tokens[i], got.held_out[i]) == (len(t), sum(c[x] > 0 for x in t), n, i not in set(train))
+    assert (got.score < 0).all()
+    assert mixing_lm.score(odd, 100, 12).count() == 9 and mixing_lm.score(odd.limit(0), 100, 12).count() == 0
+
+
+def test_language_model_sums_to_one():
+    """Each node's two decisions have probabilities that add up, so those of all words do."""
+    words_ = np.array([5, 9, 2**60], np.uint64)
+    coder = mixing_lm.Coder(words_, np.array([5, 3, 1]), 2, 4, np.ones(257), 12)
+    tables = [mixing_lm.packed(*np.random.default_rng(k).integers(0, 9, (2, 1 << 12)).astype(float)) for k in range(2)]
+    m = mixing_lm.Mixer(coder, tables)
+    first = [[s, coder.end] for s in range(3)] + [[coder.end]]
+    p = {k: 10 ** m.score(np.array(s, np.int32), np.array([0, len(s)]))[0] for k, s in enumerate(first)}
+    nexts = sum(10 ** m.score(np.array([0, s], np.int32), np.array([0, 2]))[0] for s in (*range(3), coder.end, coder.esc))
+    alone = 10 ** m.score(np.array([0], np.int32), np.array([0, 1]))[0]
+    assert sum(p.values()) <= 1 and math.isclose(nexts, alone, rel_tol=1e-5)
+
+
+def test_token_counts(spark, odd):
+    from tokenizers import Tokenizer, models
+
+    v = token_counts.pieces()
+    oracle = Tokenizer(models.Unigram(v, unk_id=0, byte_fallback=True))
+    texts = [r["text"] for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()] + ["a  b", "日本 <s> x▁y", "  ", "<0x0A>\n"]
+    c = token_counts.Counter(v)
+    assert [c.text(t)[0] for t in texts] == [len(oracle.encode("▁" + t.replace(" ", "▁"), add_special_tokens=False).ids) for t in texts]
+    tie = token_counts.Counter([("<unk>", 0.0), ("▁a", -1.0), ("b", -1.0), ("▁", -1.0), ("ab", -1.0), ("▁ab", -2.0)])
+    small = Tokenizer(models.Unigram([("<unk>", 0.0), ("▁a", -1.0), ("b", -1.0), ("▁", -1.0), ("ab", -1.0), ("▁ab", -2.0)], unk_id=0, byte_fallback=False))
+    assert tie.text("ab") == (len(small.encode("▁ab").ids), -2.0) == (1, -2.0)  # the longest last piece wins
+    assert token_counts.counts(odd, v).count() == 9
+
+
+def test_html(spark):
+    for r in spark.read.parquet(f"{DIR}/pages.parquet").collect():
+        body = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"</?b>", "", b).replace("<br>", " ")).split()) for b in re.split(r"</?(?:p|h1)>", body)]
+        assert html_text.extract(r["html"]) == "\n".join(b for b in blocks if b)
+    page = "<body><header>Site</header><div class='main-menu'><a href=x>Home</a></div><div id=content><h1>T &amp; U</h1><p>Long text of the story, with <a href=y>a link</a> and more words.<p>Second\n paragraph <i>in</i>line.<ul><li>one<li>two</ul></div><div class=comments><p>I disagree with this long story altogether.</div><form>Mail</form><footer>&copy;</footer>"
+    assert html_text.extract(page) == "T & U\nLong text of the story, with a link and more words.\nSecond paragraph inline.\none\ntwo"
+    assert html_text.extract(None) == html_text.extract("") == html_text.extract("<html><body></body></html>") == ""
+    assert html_text.extract("just text <") == "just text <"
+    rows = spark.createDataFrame([(1, "u", None, 5), (None, None, "<p>x</p>", 6)], "page_id long, url string, html string, text long")
+    assert sorted(r["n_chars"] for r in html_text.texts(rows).collect()) == [0, 1]
+
+
+def vectors(spark, n=300):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(n, 16))
+    x[50:90] = x[50] + 0.01 * r.normal(size=(40, 16))
+    x[90:95] = x[90]
+    rows = [(i, [float(v) for v in np.float32(x[i])], 0) for i in range(n)]
+    bad = [(n, None, 0), (n + 1, [0.0] * 16, 0), (n + 2, [1.0, None] * 8, 0), (n + 3, [float("nan")] * 16, 0), (n + 4, [1.0], 0), (n + 5, [float("inf")] * 16, 0)]
+    return spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, label int"), np.float64(np.float32(x))
+
+
+def test_near_vectors(spark):
+    df, x = vectors(spark)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = components(range(306), [(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)])
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.near_duplicates(df).collect()}
+    links = [*near.sum(1).tolist(), *[0] * 6]
+    assert got == {i: (links[i], want[i], want[i] == i) for i in range(306)}
+    assert near_vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_large_shard(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "LARGE", 100)
+    monkeypatch.setattr(near_vectors, "BLOCK", 60)
+    test_near_vectors(spark)
+
+
+def test_prefix_forest(spark):
+    df, x = vectors(spark)
+    got = prefix_forest.search(df, df.where("vec_id % 20 = 0"), 20).toPandas()
+    hit = 0
+    for q in range(0, 300, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(300), -s))[:20]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 21)) and np.allclose(mine.score, s[mine.vec_id]) and mine.score.is_monotonic_decreasing
+        hit += len(set(best) & set(mine.vec_id))
+    assert hit >= 0.9 * 20 * 15 and set(got.query_id) == set(range(0, 300, 20))
+    assert prefix_forest.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    got = corpus_pipeline.run(spark, DIR).toPandas()
+    assert set(got.doc_id) <= {r["doc_id"] for r in docs.collect()} and len(got)
+    one = corpus_pipeline.distinct(spark, docs, DIR)
+    assert one.columns == docs.columns and one.join(ngram_join.link(docs).where("doc_id = component_id").select("doc_id"), "doc_id").count() == one.count()
+    assert corpus_pipeline.good(spark, docs, DIR).columns == docs.columns
