@@ -19,7 +19,7 @@ VOCABULARY, SLOT_BITS = 1 << 17, 22
 #: The most frequent words, of which the last one seen is a context.
 COMMON = 64
 #: Entries of a hash table that travel together, and characters handled at once.
-CHUNK, SLICE = 1 << 16, 1 << 18
+CHUNK, SLICE = 1 << 16, 1 << 17
 #: Symbols after which a document's weights are refined: 64, 64, 128, ... up to this many.
 LONGEST = 8192
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
@@ -244,7 +244,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
         for p in parts:
             texts = p.column(0).to_pylist()
-            for x, y in batches(texts, 1 << 21):
+            for x, y in batches(texts, 1 << 20):
                 data, starts, ends, first = spans(texts[x:y])
                 h = np.sort(hashes(data, starts, ends))
                 at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
@@ -252,10 +252,10 @@ def token_counts(docs: DataFrame) -> DataFrame:
                 bytes_[:256] += np.bincount(_LOWER[data], minlength=256)
                 bytes_[256] += len(h)
                 size += len(at)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     held[:] = [merge()]
                     size = len(held[0][0])
-                    if size > 3_000_000:
+                    if size > 1_500_000:
                         yield rows(0, *held.pop())
                         size = 0
         if held:
@@ -297,11 +297,11 @@ def train(docs: DataFrame, vocabulary: int = VOCABULARY, slot_bits: int = SLOT_B
                 s = spans(texts[x:y])
                 sym, begin, _ = k.symbols(*s, hashes(*s[:3]))
                 ctx = k.contexts(sym, begin)
-                for a in range(0, len(sym), 1 << 16):
-                    d, of = k.decisions(sym[a : a + (1 << 16)])
+                for a in range(0, len(sym), 1 << 15):
+                    d, of = k.decisions(sym[a : a + (1 << 15)])
                     node, bit = d >> 1, (d & 1).astype(np.uint32)
                     for t, cx in zip(tables, ctx, strict=True):
-                        np.add.at(t, k.slots(cx[a : a + (1 << 16)][of], node) * np.uint32(2) + bit, np.int32(1))
+                        np.add.at(t, k.slots(cx[a : a + (1 << 15)][of], node) * np.uint32(2) + bit, np.int32(1))
         z = zstandard.ZstdCompressor(level=1)
         for i, t in enumerate(tables):
             for a in range(0, entries, chunk):
