@@ -193,30 +193,38 @@ class Mixer:
         length = np.diff(begin)
         text = np.repeat(np.arange(texts), length)
         place = np.arange(len(sym)) - np.repeat(begin[:-1], length)
-        w = np.tile(FIRST, (texts, 1))
+        w = [np.tile(FIRST[:, i], texts) for i in range(FIRST.shape[1])]
         total = np.zeros(texts)
         start, size = 0, 64
         longest = int(length.max()) if texts else 0
         while start < longest:
             pick = np.flatnonzero((place >= start) & (place < start + size))
             d, of = c.decisions(sym[pick])
-            node, bit = d >> 1, (d & 1).astype(np.float32)
-            own = text[pick][of]
-            st, gate = [c.prior[node]], own * 16
+            node, sign = d >> 1, (2 * (d & 1) - 1).astype(np.float32)
+            own = text[pick]
+            st, gate = [c.prior.take(node)], (own * 16).take(of)
             for k, factor in ((0, 4), (1, 1)):
-                v = self.tables[k][c.slots(ctx[k][pick][of], node)]
-                st.append((v >> 2).astype(np.float32) * np.float32(1 / _STRETCH))
-                gate = gate + (v & 3) * factor
-            z = sum(w[gate, i] * s for i, s in enumerate(st))
+                v = self.tables[k].take(c.slots(ctx[k][pick].take(of), node))
+                st.append((v >> 2) * np.float32(1 / _STRETCH))
+                v &= 3
+                gate += v if factor == 1 else v * np.int16(factor)
+            z = w[0].take(gate) * st[0]
+            for i in (1, 2):
+                z += w[i].take(gate) * st[i]
             np.clip(z, -12, 12, out=z)
-            p = 1 / (1 + np.exp(-z))
-            total += np.bincount(own, np.log(np.where(bit > 0, p, 1 - p)), texts)
+            z *= sign  # of what came, q is its probability
+            q = np.exp(-z)
+            q += 1
+            total -= np.bincount(own.take(of), np.log(q), texts)
             start += size
             if start < longest:
-                err, bend = bit - p, p * (1 - p)
+                np.reciprocal(q, out=q)
+                miss = 1 - q
+                err, bend = sign * miss, q * miss
                 for i, s in enumerate(st):
-                    g, h = np.bincount(gate, err * s, 16 * texts), np.bincount(gate, bend * s * s, 16 * texts)
-                    w[:, i] += (0.7 * g / (2 * h + 30)).astype(np.float32)
+                    up = err * s
+                    g, h = np.bincount(gate, up, 16 * texts), np.bincount(gate, bend * (s * s), 16 * texts)
+                    w[i] += (0.7 * g / (2 * h + 30)).astype(np.float32)
             size = min(LONGEST, size if start == 64 else size * 2)
         return total / np.log(10)
 
