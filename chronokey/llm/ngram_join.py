@@ -157,8 +157,28 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return _each(docs, n, "fp long, n long, shingles array<long>, sketch binary", make)
 
 
+def _screened(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) that sizes and sketches don't part. As the sketches' distance bounds the
+    symmetric difference from below, no link is lost, and sets travel for these pairs only."""
+    a = sets.select(F.col("fp").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("ku"))
+    b = sets.select(F.col("fp").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("kv"))
+    both = pairs.join(a, "u").join(b, "v").where(f"least(nu, nv) * {den} >= greatest(nu, nv) * {num}")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            if p.num_rows:
+                x, y = (np.frombuffer(b"".join(p.column(k).to_pylist()), U).reshape(p.num_rows, -1) for k in ("ku", "kv"))
+                size = p.column("nu").to_numpy() + p.column("nv").to_numpy()
+                near = np.bitwise_count(x ^ y).sum(1) <= (den - num) * size // (den + num)
+                yield p.select(["u", "v"]).filter(pa.array(near))
+
+    return both.mapInArrow(run, "u long, v long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) of fingerprints whose sets are as near as asked."""
+    """The pairs (u, v) of fingerprints whose sets are as near as asked; ``pairs`` is a kept table."""
+    ends = keep(pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct(), "ends")
+    sets = sets.join(small_side(ends), "fp", "left_semi")
     a = sets.select(F.col("fp").alias("u"), F.col("n").alias("nu"), F.col("shingles").alias("su"))
     b = sets.select(F.col("fp").alias("v"), F.col("n").alias("nv"), F.col("shingles").alias("sv"))
     both = pairs.join(a, "u").join(b, "v").where(f"least(nu, nv) * {den} >= greatest(nu, nv) * {num}")
@@ -256,7 +276,7 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     wanted = keep(shared.select("fp").distinct().join(first, "fp").select("fp", F.col("doc_id").alias("_id")), "wanted")
     texts = docs.select("doc_id", "text").join(small_side(wanted.select("_id").distinct()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = keep(_sets(texts, n).join(small_side(wanted.select("fp").distinct()), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
-    links = keep(_verified(pairs, sets, num, den), "links")
+    links = keep(_verified(keep(_screened(pairs, sets, num, den), "screened"), sets, num, den), "links")
     comps = components(links)
 
     named = shared.select("key", "fp").distinct().join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("comp"))
