@@ -54,7 +54,7 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budge
     own. Nothing is cut or dropped.
     """
     length = n_words(F.col("text")) if length is None else length
-    rows = docs.withColumn("n_tokens", length)
+    rows = keep(docs.withColumn("n_tokens", length), "lengths")  # words are counted once
     return _pack(rows, buckets, budget, order)
 
 
