@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from .common import gapless, keep, table
 from .mixing import n_words
 
-#: Lengths are exact up to so many distinct ones; beyond, they are rounded up on a grid.
-GRID = 4096
-
 
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets with the least padding, smallest bounds first.
@@ -19,20 +16,33 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
     cost[j] after b buckets = min over i of cost[i] after b - 1 + (counts of i..j) * length[j];
     the lengths themselves are a constant, so that padded size stands for padding.
     """
-    n = len(lengths)
+    n, size = len(lengths), [int(x) for x in lengths]
     if not n:
         return []
-    c = np.concatenate([[0], np.cumsum(counts)]).astype(float)
-    best = np.full(n + 1, np.inf)
-    best[0] = 0.0
+    c = [0]
+    for x in counts:
+        c.append(c[-1] + int(x))
+    best: list[int | None] = [0, *[None] * n]
     back = []
     for _ in range(min(buckets, n)):
-        new, arg = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-        new[0] = 0.0
+        # line i, best[i] - c[i] * length, gets steeper with i and lengths grow: a lower hull, each step's
+        # winner never before the last one's; all numbers are whole, so that nothing is rounded
+        new, arg, hull, at = [0, *[None] * n], [0] * (n + 1), [], 0
         for j in range(1, n + 1):
-            costs = best[:j] + (c[j] - c[:j]) * lengths[j - 1]
-            arg[j] = int(np.argmin(costs))
-            new[j] = costs[arg[j]]
+            i = j - 1
+            if best[i] is not None:
+                while len(hull) - at > 1:
+                    x, y = hull[-2], hull[-1]
+                    if (best[i] - best[x]) * (c[y] - c[x]) > (best[y] - best[x]) * (c[i] - c[x]):
+                        break
+                    hull.pop()
+                hull.append(i)
+            long = size[j - 1]
+            while len(hull) - at > 1 and best[hull[at + 1]] - c[hull[at + 1]] * long < best[hull[at]] - c[hull[at]] * long:
+                at += 1
+            if hull:
+                arg[j] = hull[at]
+                new[j] = best[hull[at]] + (c[j] - c[hull[at]]) * long
         best = new
         back.append(arg)
     bounds, j = [], n
@@ -47,8 +57,8 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budget: int = 16384, order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Each row of ``docs`` with n_tokens, bucket, bucket_len, batch, batch_row, padding.
 
-    The histogram of lengths over all rows (at most ``GRID`` lengths, so it fits the driver)
-    decides the bounds by dynamic programming. A bucket of bound L fills batches of
+    The exact histogram of lengths over all rows decides the bounds by dynamic programming; it fits
+    the driver, as D distinct lengths take texts of D * D / 2 tokens in all. A bucket of bound L fills batches of
     max(1, budget // L) rows, in the order given; its last batch may be short. Rows of length 0
     (null or empty texts) share the first bucket. A row longer than the budget is a batch of its
     own. Nothing is cut or dropped.
@@ -59,10 +69,7 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budge
 
 
 def _pack(rows: DataFrame, buckets: int, budget: int, order: tuple[str, ...]) -> DataFrame:
-    most = rows.agg(F.max("n_tokens")).first()[0] or 0
-    step = max(1, -(-(most + 1) // GRID))  # 1 while there are no more lengths than the grid has
-    grid = F.ceil(F.col("n_tokens") / F.lit(step)).cast("long") * F.lit(step)
-    hist = rows.groupBy(grid.alias("len")).count().orderBy("len").collect()
+    hist = rows.groupBy(F.col("n_tokens").cast("long").alias("len")).count().orderBy("len").collect()
     bounds = optimal_bounds(np.array([r["len"] for r in hist]), np.array([r["count"] for r in hist]), buckets)
     bucket = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>"), lambda b: b < F.col("n_tokens")))
     placed = rows.withColumn("bucket", bucket)

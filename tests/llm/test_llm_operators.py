@@ -108,6 +108,22 @@ def test_packing(spark, odd):
     assert odd_rows.count() == 9 and packing.pack(odd.limit(0)).count() == 0
 
 
+def test_packing_is_exact_beside_a_long_text(spark):
+    """One very long row doesn't coarsen the bounds of the others."""
+    r = np.random.default_rng(4)
+    lengths = np.array([*r.integers(1, 400, 600), 1_000_000])
+    docs = spark.createDataFrame([(i, int(x)) for i, x in enumerate(lengths)], "doc_id long, size long")
+    got = packing.pack(docs, F.col("size"), buckets=5).toPandas()
+    size, count = np.unique(lengths, return_counts=True)
+    c = np.concatenate([[0], np.cumsum(count)])
+    best = np.array([0, *[np.inf] * len(size)])
+    for _ in range(5):
+        best = np.array([0, *[min(best[i] + (c[j] - c[i]) * size[j - 1] for i in range(j)) for j in range(1, len(size) + 1)]])
+    assert got.padding.sum() == best[-1] - lengths.sum() and got.padding.min() >= 0
+    wide = np.arange(1, 6001)
+    assert len(packing.optimal_bounds(wide, np.ones(6000, int), 16)) == 16
+
+
 def test_mixing(spark, odd):
     got = mixing.op9_mix(spark, DIR).toPandas()
     share = got.groupby("source").agg(s=("source_size", "first"), t=("target", "first"), k=("taken", "sum"))
