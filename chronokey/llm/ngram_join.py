@@ -260,6 +260,12 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     equal, else each as its own node with that id; a null id takes part, and is reported as null
     where no other row of its component has an id. Other columns are ignored.
     """
+    return _link(docs, n, num, den).drop("component")
+
+
+def _link(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """As ``link``, with component: its smallest fp, which tells components apart that share an id;
+    null for rows without shingles."""
     blocks = Blocks(num, den)
     rows = keep(_profiles(docs, n), "profiles")
     first = keep(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "nodes")
@@ -293,24 +299,33 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
 
     of = first.join(comps, first.fp == comps.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "doc_id")
     ids = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of = keep(of.join(ids, "component").select(F.col("fp").alias("_fp"), "component_id"), "of")
+    of = keep(of.join(ids, "component").select(F.col("fp").alias("_fp"), "component", "component_id"), "of")
     out = rows.select("doc_id", "fp", "n").join(of, (F.col("fp") == F.col("_fp")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", "fp", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "fp", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row of each component of ``docs``: the one with the smallest doc_id (of repeated rows
-    with that id, one). Rows without shingles, and rows without an id, all stay."""
-    linked = keep(link(docs, n, num, den), "linked").where("n_shingles > 0 AND doc_id IS NOT NULL")
-    gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    twice = linked.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
-    out = docs.join(small_side(keep(gone, "gone")), F.col("doc_id") == F.col("_id"), "left_anti")
-    twice = keep(twice, "twice")
+    """One row of each component of ``docs``: the one with the smallest (doc_id, fp); of rows equal
+    in both, one. Rows that share an id but not a text are judged each by its own component. Rows
+    without shingles, and rows without an id, all stay."""
+    linked = keep(_link(docs, n, num, den), "linked").where("doc_id IS NOT NULL")
+    own = linked.where("n_shingles > 0").groupBy("component", "doc_id", "fp").count()
+    best = own.groupBy("component").agg(F.min(F.struct("doc_id", "fp")).alias("best")).select(F.col("component").alias("_c"), "best")
+    gone = own.join(best, F.col("component") == F.col("_c")).where(F.struct("doc_id", "fp") > F.col("best"))
+    gone = keep(gone.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")), "gone")
+    twice = keep(linked.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "twice")
     if not twice.limit(1).count():
-        return out
-    single = out.join(small_side(twice), F.col("doc_id") == F.col("_id"), "left_anti")
-    many = out.join(small_side(twice), F.col("doc_id") == F.col("_id"), "left_semi")
-    return single.unionByName(many.dropDuplicates(["doc_id"]))
+        return docs.join(small_side(gone.select("_id")), F.col("doc_id") == F.col("_id"), "left_anti")
+    repeated = small_side(twice)
+    once = gone.join(repeated, "_id", "left_anti").select("_id")
+    single = docs.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti").join(small_side(keep(once, "once")), F.col("doc_id") == F.col("_id"), "left_anti")
+    many = keep(docs.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_row", F.monotonically_increasing_id()), "many")
+    fps = _profiles(many.select(F.col("_row").alias("doc_id"), "text"), n).select(F.col("doc_id").alias("_at"), "fp", "n")
+    rows = many.select("doc_id", "_row").join(fps, F.col("_row") == F.col("_at"))
+    full = rows.where("n > 0").groupBy("doc_id", "fp").agg(F.min("_row").alias("_row"))
+    full = full.join(small_side(gone), (F.col("doc_id") == F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_anti")
+    stay = keep(rows.where("n = 0").select("_row").union(full.select("_row")).select(F.col("_row").alias("_at")), "stay")
+    return single.unionByName(many.join(small_side(stay), F.col("_row") == F.col("_at"), "left_semi").drop("_row"))
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

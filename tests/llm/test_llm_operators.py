@@ -77,6 +77,16 @@ def test_odd_join(odd):
     assert ngram_join.link(odd.limit(0)).count() == 0
 
 
+def test_keep_one_repeated_ids(spark):
+    """Rows that share an id but not a text are judged by their own component; none is lost whole."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (7, a), (7, b), (7, b), (9, b + " end"), (11, c), (11, "q w e r t y u"), (11, None), (11, ""), (12, c), (7, c + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.keep_one(docs)
+    want = [(3, a), (7, b), (7, c + " end"), (11, ""), (11, None), (11, "q w e r t y u")]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want)) and got.columns == docs.columns
+
+
 def test_sharding(spark, odd, tmp_path):
     for docs, k in ((spark.read.parquet(f"{DIR}/documents.parquet"), 5), (odd, 3), (odd.limit(0), 3)):
         size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
