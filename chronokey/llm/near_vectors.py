@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from .common import components, keep, small_side, table
 from .vectors import classes, matrix
 
-#: Rows that fit the clusters, rows aimed at in a shard, most clusters, clusters of a vector.
-SAMPLE, SHARD, CLUSTERS, OVERLAP = 20_000, 1500, 4096, 2
+#: Rows that fit the clusters, rows aimed at in a shard, most clusters.
+SAMPLE, SHARD, CLUSTERS = 20_000, 1500, 4096
 #: Neighbours looked at and kept by the pruning, its slack, and the beam of the search.
 LOOK, DEGREE, ALPHA, BEAM = 40, 24, 1.2, 24
-#: Shards beyond so many rows are compared exactly, block by block.
+#: Shards beyond so many own rows are compared exactly, block by block; so are guests with own rows.
 LARGE, BLOCK = 8192, 4096
+#: Room for rounding in the bounds that say where a guest can have a pair.
+SLACK = 1e-6
 AUDIT = 200
 
 
@@ -130,29 +132,43 @@ def range_search(v: np.ndarray, graph: np.ndarray, near: float) -> np.ndarray:
     return found
 
 
-def _roots(found: np.ndarray) -> np.ndarray:
-    """The smallest index that each node reaches."""
-    n = len(found)
+def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest index that each of ``n`` nodes reaches by the edges x - y."""
     root = np.arange(n)
-    x, y = np.nonzero(found)
     while True:
         low = root.copy()
         np.minimum.at(low, x, root[y])
+        np.minimum.at(low, y, root[x])
         low = low[low]
         if (low == root).all():
             return root
         root = low
 
 
+def guest_of(v: np.ndarray, home: np.ndarray, c: np.ndarray, reach: np.ndarray, near: float) -> np.ndarray:
+    """Boolean matrix (vectors, centres): whether the shard of a centre before the vector's home may
+    hold a vector within ``near``. Exact: a home is the nearest centre, so a vector w at home in k has
+    (c[home] - c[k]) . w <= 0, and one at distance d or less of it has at most d * |c[home] - c[k]|;
+    and w lies within the largest angle of its shard, whose sum with that of ``near`` is ``reach``.
+    """
+    s = v @ c.T
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (c[home] @ c.T)))
+    own = s[np.arange(len(v)), home][:, None]
+    inside = s >= np.cos(np.minimum(np.pi, reach))[None] - SLACK
+    return inside & (own - s <= np.sqrt(max(0.0, 2 - 2 * near)) * apart + SLACK) & (np.arange(len(c))[None] < home[:, None])
+
+
 def near_duplicates(rows: DataFrame, near: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept, audit_recall) of every row of (vec_id, embedding).
 
-    Clusters come from a bounded sample (``SAMPLE`` vectors); each class of equal vectors goes to
-    the shards of its ``OVERLAP`` nearest centres, and a pair counts in the first shard that it
-    has in common. Every shard builds a pruned graph of its vectors and searches it for each of
-    them; a shard of more than ``LARGE`` rows, where very many vectors lie together, is compared
-    exactly in blocks. audit_recall is the share of links found of ``AUDIT`` vectors compared
-    with all.
+    Clusters come from a bounded sample (``SAMPLE`` vectors); each class of equal vectors is at home
+    in the shard of its nearest centre, and a guest in every earlier shard that can hold a vector in
+    range by ``guest_of``, so that no placement loses a pair; a pair counts in the earlier home of
+    its two. Every shard builds a pruned graph of its own vectors and searches it for each of them;
+    one of more than ``LARGE``, where very many vectors lie together, is compared exactly in blocks,
+    and so are guests. Vectors without any clusters are guests nearly everywhere: all pairs are
+    compared then. audit_recall is the share of links found of ``AUDIT`` vectors compared with all;
+    where the graphs miss one of those, all shards are compared exactly instead.
 
     Defined results: invalid vectors (null, zero, null or non-finite components, an odd length)
     have no links and are their own component; so is a null id, which is kept null. Repeated rows
@@ -167,42 +183,67 @@ def near_duplicates(rows: DataFrame, near: float = 0.9) -> DataFrame:
 
     def place(parts):
         for p in parts:
-            if p.num_rows:
-                v = unit(matrix(p.column(2), dim))
-                best = np.argsort(-(v @ c.T), axis=1, kind="stable")[:, :OVERLAP]
-                for k in range(best.shape[1]):
-                    other = best[:, 1 - k] if best.shape[1] > 1 else best[:, 0]
-                    yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), p.column(2), pa.array(best[:, k], pa.int32()), pa.array(other, pa.int32())], ["rep", "copies", "v", "shard", "other"])
-
-    placed = keep(own.select("rep", "copies", "v").mapInArrow(place, "rep long, copies long, v array<double>, shard int, other int"), "placed")
-    cut = placed.groupBy("shard").count().select(F.col("shard").alias("_s"), F.when(F.col("count") > LARGE, F.ceil(F.col("count") / BLOCK)).otherwise(1).cast("int").alias("blocks"))
-    todo = placed.join(F.broadcast(cut), F.col("shard") == F.col("_s"))  # at most CLUSTERS rows
-    todo = todo.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    todo = todo.select("rep", "copies", "v", "shard", "other", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "blocks")
-
-    def shard(key, p):
-        v = unit(matrix(p.column("v"), dim))
-        rep, copies, other = (p.column(x).to_numpy() for x in ("rep", "copies", "other"))
-        mine, i, j = key[0].as_py(), key[1].as_py(), key[2].as_py()
-        order = np.argsort(rep)
-        v, rep, copies, other = v[order], rep[order], copies[order], other[order]
-        block = p.column("block").to_numpy()[order]
-        if p.column("blocks")[0].as_py() == 1:
-            found = range_search(v, robust_graph(v), near) if len(v) > 1 else np.zeros((1, 1), bool)
-        else:
-            found = v @ v.T >= near
-            np.fill_diagonal(found, False)
-            if i != j:
-                found &= block[:, None] != block[None]
-        # a pair that shares both shards counts in the lower one
-        counted = found & ~((other[:, None] == other[None]) & (other[:, None] < mine))
-        links = (counted * copies[None]).sum(1)
-        return pa.table({"rep": rep, "links": links.astype(np.int64), "root": rep[_roots(found)]})
-
-    found = keep(todo.groupBy("shard", "i", "j").applyInArrow(shard, "rep long, links long, root long"), "found")
-    links = keep(found.groupBy("rep").agg(F.sum("links").alias("links")).join(own.select("rep", "copies"), "rep").select("rep", (F.col("links") + F.col("copies") - 1).alias("n_links")), "links")
+            for a in range(0, p.num_rows, 1024):
+                q = p.slice(a, 1024)
+                s = unit(matrix(q.column(2), dim)) @ c.T
+                home = s.argmax(1)
+                yield pa.RecordBatch.from_arrays([*q.columns, pa.array(home, pa.int32()), pa.array(s.max(1))], ["rep", "copies", "v", "home", "sim"])
+
+    homes = keep(own.select("rep", "copies", "v").mapInArrow(place, "rep long, copies long, v array<double>, home int, sim double"), "homes")
+    reach = np.zeros(len(c))
+    size = np.zeros(len(c), np.int64)
+    for r in homes.groupBy("home").agg(F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n")).collect():  # at most CLUSTERS rows
+        reach[r["home"]], size[r["home"]] = np.arccos(np.clip(r["sim"], -1, 1)) + np.arccos(np.clip(near, -1, 1)) + SLACK, r["n"]
+    used = size > 0
+
+    def invite(parts):
+        for p in parts:
+            for a in range(0, p.num_rows, 1024):
+                q = p.slice(a, 1024)
+                home = q.column(3).to_numpy()
+                at, shard = np.nonzero(guest_of(unit(matrix(q.column(2), dim)), home, c, reach, near) & used[None])
+                for x in range(0, len(at), 4096):
+                    yield pa.RecordBatch.from_arrays([*[q.column(k).take(pa.array(at[x : x + 4096])) for k in range(3)], pa.array(shard[x : x + 4096], pa.int32())], ["rep", "copies", "v", "shard"])
+
+    guests = keep(homes.mapInArrow(invite, "rep long, copies long, v array<double>, shard int"), "guests")
+    placed = homes.select("rep", "copies", "v", F.col("home").alias("shard"), F.lit(True).alias("own")).union(guests.withColumn("own", F.lit(False)))
+    many = {r["shard"]: r["count"] for r in guests.groupBy("shard").count().collect()}  # at most CLUSTERS rows
+    blocks = [(k, int(-(-n_ // BLOCK)) if n_ > LARGE else 1, -(-many.get(k, 0) // BLOCK)) for k, n_ in enumerate(size.tolist()) if n_]
+    cut = rows.sparkSession.createDataFrame(blocks, "_s int, blocks int, more int")
+    todo = placed.join(F.broadcast(cut), F.col("shard") == F.col("_s"))
+    # own rows are blocks 0 to blocks - 1, guests the ``more`` after them; guests don't meet each other
+    block = F.when(F.col("own"), F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(F.col("blocks") + F.pmod(F.xxhash64("rep"), F.col("more"))).cast("int")
+    last = F.col("blocks") - 1 + F.when(F.col("own"), F.col("more")).otherwise(0)
+    todo = todo.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+    todo = todo.select("rep", "copies", "v", "shard", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "blocks")
+
+    def pairs(exact: bool):
+        def shard(key, p):
+            v = unit(matrix(p.column("v"), dim))
+            rep, copies = (p.column(x).to_numpy() for x in ("rep", "copies"))
+            order = np.argsort(rep)
+            v, rep, copies = v[order], rep[order], copies[order]
+            if key[1].as_py() != key[2].as_py():
+                first = p.column("block").to_numpy()[order] == key[1].as_py()
+                a, b = np.flatnonzero(first), np.flatnonzero(~first)
+                x, y = np.nonzero(v[a] @ v[b].T >= near)
+                x, y = a[x], b[y]
+            elif exact or p.column("blocks")[0].as_py() > 1:
+                x, y = np.hstack([np.add(np.nonzero(np.triu(v[a : a + 1024] @ v[a:].T >= near, 1)), a) for a in range(0, len(v), 1024)])
+            else:
+                x, y = np.nonzero(np.triu(range_search(v, robust_graph(v), near), 1)) if len(v) > 1 else np.zeros((2, 0), int)
+            links = np.bincount(x, copies[y], len(v)) + np.bincount(y, copies[x], len(v))
+            return pa.table({"rep": rep, "links": links.astype(np.int64), "root": rep[_roots(len(v), x, y)]})
+
+        return shard
+
+    for exact in (False, True):
+        found = keep(todo.groupBy("shard", "i", "j").applyInArrow(pairs(exact), "rep long, links long, root long"), "found")
+        links = keep(found.groupBy("rep").agg(F.sum("links").alias("links")).join(own.select("rep", "copies"), "rep").select("rep", (F.col("links") + F.col("copies") - 1).alias("n_links")), "links")
+        recall = _audit(own, links, dim, near)
+        if recall == 1:
+            break
     comps = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    recall = _audit(own, links, dim, near)
     got = links.join(comps, links.rep == comps.node, "left").select(F.col("rep").alias("_rep"), "n_links", F.coalesce("component", "rep").alias("component_id"))
     named = members.join(got, F.col("rep") == F.col("_rep")).select(F.col("vec_id").alias("_id"), "n_links", "component_id").dropDuplicates(["_id"])
     out = rows.select("vec_id", "embedding").join(keep(named, "named"), (F.col("vec_id") == F.col("_id")) & F.coalesce(F.expr(VALID_ROW.format(dim=dim)), F.lit(False)), "left")

@@ -247,6 +247,27 @@ def test_large_shard(spark, monkeypatch):
     test_near_vectors(spark)
 
 
+def test_near_vectors_of_many_centres(spark, monkeypatch):
+    """Vectors without clusters, with planted pairs near the limit, over 40 centres."""
+    monkeypatch.setattr(near_vectors, "SHARD", 30)
+    monkeypatch.setattr(near_vectors, "BLOCK", 200)
+    r = np.random.default_rng(6)
+    x = r.normal(size=(1200, 32))
+    other = r.normal(size=(600, 32))
+    other -= x[:600] * ((other * x[:600]).sum(1) / (x[:600] ** 2).sum(1))[:, None]
+    other *= np.linalg.norm(x[:600], axis=1, keepdims=True) / np.linalg.norm(other, axis=1, keepdims=True)
+    x[600:] = 0.91 * x[:600] + math.sqrt(1 - 0.91**2) * other
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    got = near_vectors.near_duplicates(df).toPandas().set_index("vec_id").sort_index()
+    assert len(near_vectors.centres(u, 40)) >= 10 and near.sum() >= 1200
+    assert (got.n_links == near.sum(1)).all() and (got.audit_recall == 1).all()
+    want = components(range(1200), [(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)])
+    assert got.component_id.to_dict() == want
+
+
 def test_prefix_forest(spark):
     df, x = vectors(spark)
     got = prefix_forest.search(df, df.where("vec_id % 20 = 0"), 20).toPandas()
