@@ -183,8 +183,11 @@ def extract(page: str | None) -> str:
 
     Menus, page headers, footers, asides, forms, adverts, notices and comments go by element and
     by the words of class and id. Of what stays, the node with the largest sum of child densities
-    is the article, as a whole, with its <article> or <main> if it is in one; outside it, subtrees
-    stay whose density reaches the least on its path to the body.
+    is the article, as a whole, with its <article> or <main> if it is in one. Without those, the article
+    is all of the outermost element around that node, below the body, or of the body if the node stands
+    in it alone; only blocks of several links that hold most of the characters go. Outside it, the first
+    headings (h1) stay, loose text in the body, and subtrees at any depth whose density reaches the
+    least on the node's path to the body.
     """
     if not page:
         return ""
@@ -214,15 +217,22 @@ def extract(page: str | None) -> str:
         path.append(up)
         up = up.parent
     limit = min((n.density for n in path), default=0.0)
-    kept: list[Node] = []
-    todo: list[Node] = [root]
+    top = path[-1] if len(path) > 1 else None  # None: all of the body, with the node's neighbours
+    on = set(path)
+    todo: list[tuple[Node, bool]] = [(root, top is None)]
     while todo:
-        n = todo.pop()
-        if n is best or (n not in path and n.tag not in ("", "html", "body") and n.density >= limit):
-            kept.append(n)
-        elif n in path or n.tag in ("", "html", "body"):
-            todo += [c for c in reversed(n.items) if isinstance(c, Node) and not c.drop]
-    _blocks(kept, out)
+        n, within = todo.pop()
+        within = within or n is top
+        if not within and n.tag not in ("", "html", "body"):
+            n.items = [c for c in n.items if isinstance(c, Node)]  # loose text of what does not reach the limit
+        for c in n.items:
+            if not isinstance(c, Node) or c.drop or c is best:
+                continue
+            if within and c not in on and c.tag in BLOCK and c.tag not in ("html", "body") and c.links > 1 and 2 * c.link_chars > c.chars:
+                c.drop = True
+            elif within or c is top or c.tag in ("html", "body") or not (c.tag == "h1" or c.density >= limit):
+                todo.append((c, within))
+    _blocks([root], out)
     return "\n".join(out)
 
 

@@ -219,6 +219,17 @@ def test_html(spark):
     assert sorted(r["n_chars"] for r in html_text.texts(rows).collect()) == [0, 1]
 
 
+@pytest.mark.parametrize("wrap", [("<div>", "</div>"), ("", "")])
+def test_html_without_article_keeps_all_sections(wrap):
+    parts = ["h" * 30, *[x * k for k in (300, 250, 120) for x in "abcde"]]
+    sections = "".join(f"<div>{''.join(f'<p>{p}</p>' for p in parts[a : a + 5])}</div>" for a in (1, 6, 11))
+    links = "".join(f"<li><a href=x>place {i}</a></li>" for i in range(8))
+    page = f"<html><body>{wrap[0]}<h1>{parts[0]}</h1>loose<ul>{links}</ul>{sections}{wrap[1]}<footer>end</footer></body></html>"
+    assert html_text.extract(page) == "\n".join([parts[0], "loose", *parts[1:]])
+    outside = f"<body><h1>Title</h1><div>{sections}</div><div>{links}</div></body>"
+    assert html_text.extract(outside) == "\n".join(["Title", *parts[1:]])
+
+
 def vectors(spark, n=300):
     r = np.random.default_rng(2)
     x = r.normal(size=(n, 16))
