@@ -18,10 +18,17 @@ BLOCK = frozenset("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol
 #: Elements that never hold the article, and words of class or id that say so too.
 DROP = frozenset("nav footer aside form script style textarea noscript iframe button select template svg math head title menu dialog object canvas audio video xmp noembed noframes".split())
 WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments reply replies disqus cookie cookies consent notice notices notification gdpr popup modal overlay share sharing social related recommended newsletter subscribe signup login search pagination pager widget toolbar copyright legal disclaimer skip".split())
+#: Words of layout, which name a part of the article together with a word for content ("article-header")
+#: and inside <article> or <main>.
+LAYOUT = frozenset("banner copyright disclaimer footer header legal masthead notice notices notification notifications promotion side".split())
+CONTENT = frozenset("article chapter content entry post section story title".split())
+#: Words that are often a subject ("market-share"): inside, they count where the name is one of a bar, list or form.
+SUBJECT = frozenset("related recommended replies reply search share sharing skip social widget".split())
+BAR = re.compile(rf"(?:(?:{'|'.join(sorted(CONTENT))})[-_])?(?:(?:{'|'.join(sorted(SUBJECT))}|bars?|box|buttons?|form|icons?|items|links?|lists?|news|articles|posts|stories|tools)[-_]?)+", re.I)
 #: An element that opens one of the first closes an open one of the second, up to the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -34,18 +41,33 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _boilerplate(tag: str, attrs: str) -> bool:
+def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
+    """By element, the attribute hidden, or the names in class, id and role; attributes are taken as
+    pairs of name and value, so that no value is read as a name."""
     if tag in DROP:
         return True
     if attrs and tag not in ("html", "body", "article", "main"):
         for m in _ATTR.finditer(attrs):
-            if m[1].lower() == "hidden":
-                return True
-            if not WORDS.isdisjoint(_SPLIT.split((m[2] or m[3] or m[4] or "").lower())):
+            name = m[1].lower()
+            if name == "hidden":
                 return True
+            if name in ("class", "id", "role"):
+                if any(_names_boilerplate(x, inside) for x in (m[2] or m[3] or m[4] or "").split()):
+                    return True
     return False
 
 
+def _names_boilerplate(name: str, inside: bool) -> bool:
+    words = set(_SPLIT.split(name.lower()))
+    hit = words & WORDS
+    if not hit:
+        return False
+    if inside:
+        hit -= LAYOUT
+        return bool(hit - SUBJECT) or bool(hit) and bool(BAR.fullmatch(name))
+    return not (hit <= LAYOUT and words & CONTENT)
+
+
 def parse(page: str) -> Node:
     """A tree of elements and text pieces. Comments are left out, raw text elements are leaves;
     a missing end tag of p, li, dt, dd, tr, td, th or option is implied, a stray end tag ignored,
@@ -94,8 +116,8 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up.tag in same:
                 node = up.parent
-        inside = tag == "header" and _within(node, ("article", "main"))
-        child = Node(tag, node, _boilerplate(tag, m[3]) or tag == "header" and not inside)
+        inside = _within(node, ("article", "main")) if m[3] or tag == "header" else False
+        child = Node(tag, node, _boilerplate(tag, m[3], inside) or tag == "header" and not inside)
         node.items.append(child)
         if not m[3].endswith("/") or tag in BLOCK:
             node = child

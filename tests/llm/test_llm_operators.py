@@ -230,6 +230,18 @@ def test_html_without_article_keeps_all_sections(wrap):
     assert html_text.extract(outside) == "\n".join(["Title", *parts[1:]])
 
 
+def test_html_attributes():
+    """Values are not names, and a heading's wrapper is no page header."""
+    text = "<p>Some words of the story.</p>"
+    for attrs in ('style="overflow: hidden"', 'title="A hidden gem"', "data-x='a class=menu b'", 'class="article-header"', 'class="market-share-analysis legal-side"'):
+        assert html_text.extract(f"<body><article><div {attrs}><h1>Title</h1></div>{text}</article></body>") == "Title\nSome words of the story."
+    for attrs in ('style="overflow: hidden"', 'class="post-header"'):
+        assert html_text.extract(f"<body><div {attrs}><article>{text}</article></div></body>") == "Some words of the story."
+    for attrs in ("hidden", 'hidden=""', 'class="comments"', "class='x share-bar'", "class=share", 'id="advert"', 'class="social-share"', "class=related-posts", "class=post-share"):
+        assert html_text.extract(f"<body><article>{text}<div {attrs}>Off</div></article></body>") == "Some words of the story."
+    assert html_text.extract(f"<body><div class='site-header'>Off</div><div id=x>{text}</div></body>") == "Some words of the story."
+
+
 def vectors(spark, n=300):
     r = np.random.default_rng(2)
     x = r.normal(size=(n, 16))
