@@ -30,7 +30,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", good), ("n-gram Jaccard join", distinct), ("mixing sources", mixed), ("packing", packed)]
 
-#: SQL can't express the classifier's fit; tests hold each stage against a brute-force version.
+#: SQL can't express the classifier's fit; tests hold the other stages against a brute-force version each,
+#: and the classifier against held-out labels.
 ORACLE_SQL = None
 
 

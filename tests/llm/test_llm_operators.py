@@ -1,5 +1,6 @@
 """The training-data operators against brute force, and on odd rows."""
 
+import hashlib
 import html
 import itertools
 import math
@@ -306,6 +307,78 @@ def test_prefix_forest(spark):
     assert prefix_forest.search(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def mess(spark):
+    """Repeated ids, nulls, near copies, a very long text and many lengths."""
+    a, b, long = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 60), ("b", 60), ("l", 30_000)))
+    rows = [(3, a, "s"), (7, a + " end", "t"), (7, b, "s"), (7, b, "s"), (9, b + " end", None), (None, b, "s"), (None, None, "t"), (10, None, None), (10, "", "s"), (11, " \t", "s"), (12, long, "u"), (12, long + " end", "u"), (13, long + " more", "t")]
+    rows += [(20 + k // 2, " ".join(f"r{k}x{i}" for i in range(3 * k + 1)), "stu"[k % 3]) for k in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", src, len(t or "")) for i, t, src in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return docs, rows
+
+
+def test_pipeline_distinct(spark, mess):
+    docs, rows = mess
+    sets = []
+    for _, t, _ in rows:
+        w = words(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    comp = components(range(len(rows)), [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if sets[i] & sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    got = Counter((r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.distinct(spark, docs, DIR).collect())
+    free = Counter(r for r, x in zip(rows, sets, strict=True) if r[0] is None or not x)
+    assert all(got[r] == n for r, n in free.items())
+    for c in set(comp.values()):
+        some = [rows[i] for i in comp if comp[i] == c and sets[i] and rows[i][0] is not None]
+        if some:
+            assert sum(got[r] for r in set(some)) == 1 and sum(got[r] for r in set(some) if r[0] == min(some)[0]) == 1
+    assert got.total() == free.total() + len({comp[i] for i in comp if sets[i] and rows[i][0] is not None})
+
+
+def test_pipeline_mixed(spark, mess):
+    docs, rows = mess
+    size = [len(words(t)) for _, t, _ in rows]
+    h = [int(hashlib.md5(f"mix:{'' if i is None else i}".encode()).hexdigest()[:15], 16) for i, _, _ in rows]
+    names = sorted({r[2] for r in rows}, key=lambda x: (x is None, x or ""))
+    of = {x: sum(n for n, r in zip(size, rows, strict=True) if r[2] == x) for x in names}
+    level = {x: k % 3 + 1.0 for k, x in enumerate(names)}
+    target, open_ = {}, set(names)
+    while open_:
+        room = sum(of.values()) - sum(target.values())
+        share = {x: room * level[x] / sum(level[y] for y in open_) for x in open_}
+        over = {x for x in open_ if share[x] > 3 * of[x]}
+        target |= {x: 3.0 * of[x] for x in over} if over else share
+        open_ -= over or open_
+    want = Counter()
+    for k, r in enumerate(rows):
+        if not size[k]:
+            continue
+        times = math.floor(target[r[2]] / of[r[2]])
+        rest = target[r[2]] - times * of[r[2]]
+        before = sum(n for n, x, q in zip(size, h, rows, strict=True) if q[2] == r[2] and x < h[k])
+        edge = sum(n for n, x, q in zip(size, h, rows, strict=True) if q[2] == r[2] and x == h[k])
+        taken = size[k] * times + (size[k] if before + edge <= rest else size[k] * math.floor(rest - before) // edge if before <= rest else 0)
+        want[r] += math.floor(taken / size[k] + 0.5)
+    got = Counter((r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.mixed(spark, docs, DIR).collect())
+    assert got == +want and got.total() > 20
+
+
+def test_pipeline_packed(spark, mess):
+    docs, rows = mess
+    got = corpus_pipeline.packed(spark, docs, DIR).toPandas()
+    lengths = [len(words(t)) for _, t, _ in rows]
+    assert sorted(got.n_tokens) == sorted(lengths) and Counter(got.text.fillna("none")) == Counter("none" if t is None else t for _, t, _ in rows)
+    size, count = np.unique(lengths, return_counts=True)
+    c = np.concatenate([[0], np.cumsum(count)])
+    best = np.array([0, *[np.inf] * len(size)])
+    for _ in range(16):
+        best = np.array([0, *[min(best[i] + (c[j] - c[i]) * size[j - 1] for i in range(j)) for j in range(1, len(size) + 1)]])
+    assert len(size) > 16 and got.padding.sum() == best[-1] - sum(lengths) and (got.padding == got.bucket_len - got.n_tokens).all()
+    for _, g in got.groupby("bucket"):
+        room = max(1, 16384 // max(1, int(g.bucket_len.iloc[0])))
+        assert sorted(zip(g.batch, g.batch_row, strict=True)) == [(i // room, i % room) for i in range(len(g))]
+        assert g.sort_values(["batch", "batch_row"]).doc_id.fillna(-1).is_monotonic_increasing
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     got = corpus_pipeline.run(spark, DIR).toPandas()
