@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import math
+import functools
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.chronokey.scratch", None)
+    """The folder that all executors share, ``spark.checkpoint.dir``. Where it is unset a temporary
+    one is made, but only if all tasks run in the driver's own process (a local master)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.chronokey.scratch", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="chronokey-")
         spark.conf.set("spark.chronokey.scratch", base)
     return base
@@ -31,11 +33,34 @@ def shared_dir(spark: SparkSession) -> str:
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, which cuts its lineage.
 
-    The files outlive a lost executor, and every later reader gets the same rows.
+    The files outlive a lost executor, and every later reader gets the same rows. ``release``
+    deletes them.
     """
     path = f"{shared_dir(df.sparkSession)}/chronokey/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def release(*kept: DataFrame | None) -> None:
+    """Delete kept tables whose last reader has been written, and let go of shuffles behind them."""
+    for df in kept:
+        path = getattr(df, "kept_at", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def free_name(df: DataFrame, *wanted: str) -> list[str]:
+    """For each wanted name, one like it that no column of ``df`` has, whatever the case."""
+    have, out = {c.lower() for c in df.columns}, []
+    for w in wanted:
+        while w.lower() in have:
+            w += "_"
+        have.add(w.lower())
+        out.append(w)
+    return out
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -47,26 +72,45 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def gapless(df: DataFrame, group: list[str], order: list[str], name: str, rows_per_task: int = 20_000) -> DataFrame:
     """``df`` with ``name``: 0, 1, 2, ... in each group, without a gap.
 
-    No group meets in one task: rows are numbered in hash slices of about ``rows_per_task``
-    rows, and each slice starts where the counts of those before it end. ``df`` must give the
-    same rows each time it is read (a kept table); ``order`` fixes the numbers, but for rows
-    equal in it, which get neighbouring ones.
+    Rows go by the first column of ``order`` (a number; null first), those equal in it by a hash of
+    all its columns and then by these, at every size. No group meets in one task: rows are
+    numbered in slices by ranges of the first column, and each slice starts where the counts of those
+    before it end. A value that fills a slice is one of its own, cut by hash. ``df`` must give the same
+    rows each time it is read (a kept table); rows equal in all of ``order`` get neighbouring numbers.
     """
-    most = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    slices = max(1, math.ceil(most / rows_per_task))
-    cut = df.withColumn("_slice", F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(slices)))
-    sizes = cut.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_slice").alias("_s"),
-                          F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    g = [f"_g{i}" for i in range(len(group))]
+    lead, hashed, slice_, part, row, at_slice, at_part, start, parts, *g = free_name(df, "_lead", "_hash", "_slice", "_part", "_row", "_s", "_p", "_start", "_parts", *g)
+    total = df.count()
+    wide = df.withColumn(lead, F.col(order[0]).cast("double")).withColumn(hashed, F.xxhash64(*[F.col(c) for c in order]))
+    cuts: list[float] = []
+    if total > rows_per_task:
+        n = min(4096, -(-total // rows_per_task))
+        at = df.agg(F.percentile_approx(F.col(order[0]).cast("double"), [i / n for i in range(1, n)], 10 * n)).first()[0]
+        cuts = sorted(set(at or []))
+    # 2 i: between the cuts i - 1 and i; 2 i + 1: at cut i
+    bounds = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>") if cuts else F.array().cast("array<double>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))]) if cuts else F.array().cast("array<int>")
+    below = F.aggregate(steps, F.lit(0), lambda a, x: F.when((a + x <= len(cuts)) & (F.try_element_at(bounds, a + x) < F.col(lead)), a + x).otherwise(a))
+    same = F.coalesce(F.try_element_at(bounds, below + 1) == F.col(lead), F.lit(False)).cast("int")
+    cut = wide.withColumn(slice_, F.when(F.col(lead).isNull(), F.lit(-1)).otherwise(below * 2 + same))
+    named = [F.col(c).alias(x) for c, x in zip(group, g, strict=True)]
+    many = cut.groupBy(*group, slice_).count().where((F.col("count") > 2 * rows_per_task) & (F.col(slice_) % 2 != 0))
+    many = many.select(*named, F.col(slice_).alias(at_slice), F.ceil(F.col("count") / F.lit(rows_per_task)).cast("int").alias(parts))
+    on = lambda slices: functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(x)) for c, x in zip(group, g, strict=True)], slices)
+    if cuts:
+        hot = keep(many, "hot")
+        high = F.shiftright(hashed, 32) + F.lit(1 << 31)  # 0 .. 2^32 - 1, in the hash's own order
+        cut = cut.join(small_side(hot), on(F.col(slice_) == F.col(at_slice)), "left").withColumn(part, F.coalesce(F.shiftright(high * F.col(parts), 32), F.lit(0))).drop(*g, at_slice, parts)
+    else:
+        cut = cut.withColumn(part, F.lit(0).cast("long"))
+    sizes = cut.groupBy(*group, slice_, part).agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy(*group).orderBy(slice_, part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*named, F.col(slice_).alias(at_slice), F.col(part).alias(at_part), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias(start))
     starts = keep(starts, "starts")
-    inside = Window.partitionBy(*group, "_slice").orderBy(*order)
-    numbered = cut.withColumn("_row", F.row_number().over(inside))
-    on = F.col("_slice") == F.col("_s")
-    for i, c in enumerate(group):
-        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    joined = numbered.join(small_side(starts), on)
-    return joined.withColumn(name, F.col("_start") + F.col("_row") - 1).select(*df.columns, name)
+    inside = Window.partitionBy(*group, slice_, part).orderBy(lead, hashed, *order)
+    numbered = cut.withColumn(row, F.row_number().over(inside))
+    joined = numbered.join(small_side(starts), on((F.col(slice_) == F.col(at_slice)) & (F.col(part) == F.col(at_part))))
+    return joined.select(*df.columns, (F.col(start) + F.col(row) - 1).alias(name))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -83,14 +127,18 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = keep(large, "large")
+        old = now
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = keep(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        release(large, old)
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen:
             break
         seen = mark
     out = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     roots = now.select(F.col("v").alias("node")).distinct().join(out.select("node"), "node", "left_anti")
-    return keep(out.union(roots.select("node", F.col("node").alias("component"))), "components")
+    whole = keep(out.union(roots.select("node", F.col("node").alias("component"))), "components")
+    release(now)
+    return whole

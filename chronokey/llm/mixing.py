@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, small_side
+from .common import free_name, keep, release, small_side
 
 #: The hash of a document has 60 bits; each round looks at 12 more of them.
 HASH_BITS, ROUND_BITS = 60, 12
@@ -56,33 +56,39 @@ def mix(docs: DataFrame, size: Column | None = None, seed: str = "mix") -> DataF
 
     Defined results: null or empty texts have size 0 and taken 0; a null source is a source of
     its own, the last; rows with equal doc_id go together; an empty table gives an empty one. A
-    source without words has target 0.
+    source without words has target 0. Columns of ``docs`` named as the four are replaced, all others
+    stay as they are, whatever their names.
     """
     size = n_words(F.col("text")) if size is None else size
+    own, h, *names = free_name(docs, "_size", "_h", "_of", "_target", "_taken")
     slim = keep(docs.select("doc_id", "source", size.alias("size"), doc_hash(F.col("doc_id"), seed).alias("h")), "sizes")
-    rows = docs.withColumn("_size", size).withColumn("_h", doc_hash(F.col("doc_id"), seed))
-    return take(rows, thresholds(slim), "_size", "_h").select(*docs.columns, F.col("_size").alias("size"), "source_size", "target", "taken")
+    out = take(docs.withColumn(own, size).withColumn(h, doc_hash(F.col("doc_id"), seed)), thresholds(slim), own, h, tuple(names))
+    release(slim)
+    made = dict(zip(("size", "source_size", "target", "taken"), (own, *names), strict=True))
+    return out.select(*[c for c in docs.columns if c not in made], *[F.col(c).alias(k) for k, c in made.items()])
 
 
-def take(rows: DataFrame, plan: DataFrame, size: str, h: str) -> DataFrame:
-    plan = plan.select(F.col("source").alias("_source"), "source_size", "target", "times", "upto", "part", "edge")
-    out = rows.join(small_side(plan), F.col("source").eqNullSafe(F.col("_source")))
-    return out.withColumn("taken", F.col(size) * F.col("times") + once(size, h)).drop("_source", "times", "upto", "part", "edge")
-
-
-def once(size: str, h: str) -> Column:
-    """Words taken besides whole rounds: all below the threshold; at it, the share that is left."""
-    part = F.expr(f"({size} * part) div nullif(edge, 0)")
-    return F.when(F.col(h) < F.col("upto"), F.col(size)).when(F.col(h) == F.col("upto"), F.coalesce(part, F.lit(0))).otherwise(0).cast("long")
+def take(rows: DataFrame, plan: DataFrame, size: str, h: str, names: tuple[str, str, str]) -> DataFrame:
+    """``rows`` with its source's size and target, and the words taken, under ``names``."""
+    source, times, upto, part, edge = free_name(rows, "_source", "_times", "_upto", "_part", "_edge")
+    plan = plan.select(F.col("source").alias(source), F.col("source_size").alias(names[0]), F.col("target").alias(names[1]), F.col("times").alias(times), F.col("upto").alias(upto), F.col("part").alias(part), F.col("edge").alias(edge))
+    out = rows.join(small_side(plan), F.col("source").eqNullSafe(F.col(source)))
+    share = F.expr(f"(`{size}` * `{part}`) div nullif(`{edge}`, 0)")
+    once = F.when(F.col(h) < F.col(upto), F.col(size)).when(F.col(h) == F.col(upto), F.coalesce(share, F.lit(0))).otherwise(0).cast("long")
+    return out.withColumn(names[2], F.col(size) * F.col(times) + once).drop(source, times, upto, part, edge)
 
 
 def repeat(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken (a part of a row at the
     threshold counts as one if it is at least half), with its own columns only."""
-    mixed = mix(docs.withColumnRenamed("size", "_own_size"), seed=seed) if "size" in docs.columns else mix(docs, seed=seed)
-    copies = F.round(F.coalesce(F.try_divide("taken", "size"), F.lit(0.0))).cast("int")
-    out = mixed.where("2 * taken >= size AND size > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    return out.select(*[F.col("_own_size" if c == "size" else c).alias(c) for c in docs.columns])
+    size, h, copy, *names = free_name(docs, "_size", "_h", "_copy", "_of", "_target", "_taken")
+    slim = keep(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), doc_hash(F.col("doc_id"), seed).alias("h")), "sizes")
+    rows = docs.withColumn(size, n_words(F.col("text"))).withColumn(h, doc_hash(F.col("doc_id"), seed))
+    mixed = take(rows, thresholds(slim), size, h, tuple(names))
+    release(slim)
+    copies = F.round(F.coalesce(F.try_divide(F.col(names[2]), F.col(size)), F.lit(0.0))).cast("int")
+    out = mixed.where((2 * F.col(names[2]) >= F.col(size)) & (F.col(size) > 0)).withColumn(copy, F.explode(F.sequence(F.lit(1), copies)))
+    return out.select(*docs.columns)
 
 
 def thresholds(slim: DataFrame) -> DataFrame:
@@ -115,7 +121,7 @@ def op9_mix(spark, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     slim = keep(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("h")), "sizes")
-    return take(slim, thresholds(slim), "size", "h").select("doc_id", "size", "source_size", "target", "taken", "source")
+    return take(slim, thresholds(slim), "size", "h", ("source_size", "target", "taken")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 OP9_SQL = r"""

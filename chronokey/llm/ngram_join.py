@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, keep, small_side, table
+from .common import components, free_name, keep, release, small_side, table
 from .words import U, batches, hashes, spans
 from .words import mix as _mix
 
@@ -122,7 +122,7 @@ def _each(docs: DataFrame, n: int, shape: str, make) -> DataFrame:
     """What ``make`` gives for (ids, fingerprints of sets, sets) of some rows at a time."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in parts:
+        for whole in (p.slice(a, 1024) for p in parts for a in range(0, p.num_rows, 1024)):
             texts = whole.column(1).to_pylist()
             for x, y in batches(texts):
                 sets = shingle_sets(texts[x:y], n)
@@ -147,14 +147,26 @@ def _keys(docs: DataFrame, n: int, blocks: Blocks) -> DataFrame:
     return _each(docs, n, "key long, fp long", make)
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """(fp, n, shingles, sketch) of each row; the sketch has the parities of SKETCH bits."""
+def _sketches(docs: DataFrame, n: int) -> DataFrame:
+    """(fp, n, sketch) of each row; the sketch has the parities of SKETCH bits."""
 
     def make(ids, fp, sets):
         bits = [np.packbits((np.bincount((s & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes() for s in sets]
-        return {"fp": pa.array(fp), "n": pa.array([len(s) for s in sets], pa.int64()), "shingles": _lists(sets), "sketch": pa.array(bits, pa.binary())}
+        return {"fp": pa.array(fp), "n": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array(bits, pa.binary())}
+
+    return _each(docs, n, "fp long, n long, sketch binary", make)
 
-    return _each(docs, n, "fp long, n long, shingles array<long>, sketch binary", make)
+
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """(fp, n, shingles) of each row."""
+    return _each(docs, n, "fp long, n long, shingles array<long>", lambda ids, fp, sets: {"fp": pa.array(fp), "n": pa.array([len(s) for s in sets], pa.int64()), "shingles": _lists(sets)})
+
+
+def _texts_of(docs: DataFrame, first: DataFrame, fps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` that hold the texts of ``fps`` (a kept table of fp), one row a text but for
+    repeated ids, and the kept table behind it."""
+    ids = keep(first.join(small_side(fps), "fp", "left_semi").select(F.col("doc_id").alias("_id")).distinct(), "wanted")
+    return docs.select("doc_id", "text").join(small_side(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), ids
 
 
 def _screened(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -175,14 +187,18 @@ def _screened(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.mapInArrow(run, "u long, v long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) of fingerprints whose sets are as near as asked; ``pairs`` is a kept table."""
+def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) of fingerprints whose sets are as near as asked, a kept table; ``pairs`` is
+    one too. Shingles are made again from the texts, of the ends of these pairs only."""
     ends = keep(pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct(), "ends")
-    sets = sets.join(small_side(ends), "fp", "left_semi")
+    texts, ids = _texts_of(docs, first, ends)
+    sets = keep(_sets(texts, n).join(small_side(ends), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
     a = sets.select(F.col("fp").alias("u"), F.col("n").alias("nu"), F.col("shingles").alias("su"))
     b = sets.select(F.col("fp").alias("v"), F.col("n").alias("nv"), F.col("shingles").alias("sv"))
     both = pairs.join(a, "u").join(b, "v").where(f"least(nu, nv) * {den} >= greatest(nu, nv) * {num}")
-    return both.withColumn("i", F.size(F.array_intersect("su", "sv"))).where(f"i * {den} >= (nu + nv - i) * {num}").select("u", "v")
+    out = keep(both.withColumn("i", F.size(F.array_intersect("su", "sv"))).where(f"i * {den} >= (nu + nv - i) * {num}").select("u", "v"), "links")
+    release(ends, ids, sets)
+    return out
 
 
 def _across(rows: DataFrame, blocks: Blocks) -> DataFrame:
@@ -279,27 +295,38 @@ def _link(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     near = shared.where("before IS NOT NULL").select("fp", F.explode(F.array_distinct(F.array("leader", "before"))).alias("other")).where("fp <> other")
     pairs = keep(near.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct(), "pairs")
 
-    wanted = keep(shared.select("fp").distinct().join(first, "fp").select("fp", F.col("doc_id").alias("_id")), "wanted")
-    texts = docs.select("doc_id", "text").join(small_side(wanted.select("_id").distinct()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = keep(_sets(texts, n).join(small_side(wanted.select("fp").distinct()), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
-    links = keep(_verified(keep(_screened(pairs, sets, num, den), "screened"), sets, num, den), "links")
+    fps = keep(shared.select("fp").distinct(), "bucketed")
+    texts, ids = _texts_of(docs, first, fps)
+    sketches = keep(_sketches(texts, n).join(small_side(fps), "fp", "left_semi").dropDuplicates(["fp"]), "sketches")
+    release(fps, ids)
+    screened = keep(_screened(pairs, sketches, num, den), "screened")
+    release(pairs)
+    links = _verified(screened, docs, first, n, num, den)
+    release(screened)
     comps = components(links)
 
-    named = shared.select("key", "fp").distinct().join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("comp"))
-    named = keep(named, "named")
-    open_ = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("rows")).where("c0 < c1").select("key", F.ceil(F.col("rows") / F.lit(CHUNK)).cast("int").alias("chunks"))
-    open_ = keep(open_, "open")
-    todo = named.join(open_, "key").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    # of a bucket of three or less, all pairs were those of the first node and of the one before
+    named = small_side(comps.withColumnRenamed("node", "fp"))
+    inside = lambda rows: rows.select("key", "fp").join(named, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("comp"))
+    open_ = inside(shared).groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("rows"))
+    open_ = keep(open_.where("c0 < c1 AND rows > 3").select("key", F.ceil(F.col("rows") / F.lit(CHUNK)).cast("int").alias("chunks")), "open")
+    todo = inside(shared.join(small_side(open_.select("key")), "key", "left_semi")).distinct().join(small_side(open_), "key").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    todo = todo.join(sketches, "fp")  # a sketch goes once to its bucket's rows, and is copied for its chunks after that
     other = F.sequence(F.lit(0), F.col("chunks") - 1)
-    todo = todo.withColumn("other", F.explode(other)).select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "fp", "comp")
-    todo = todo.join(sets.select("fp", "n", "sketch"), "fp")
-    late = keep(_verified(keep(_across(todo, blocks), "across"), sets, num, den), "late")
+    todo = todo.withColumn("other", F.explode(other)).select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "fp", "comp", "n", "sketch")
+    across = keep(_across(todo, blocks), "across")
+    release(shared, open_, sketches)
+    late = _verified(across, docs, first, n, num, den)
+    release(across)
     if late.limit(1).count():
+        release(comps)
         comps = components(links.union(late))
+    release(links, late)
 
     of = first.join(comps, first.fp == comps.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "doc_id")
     ids = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = keep(of.join(ids, "component").select(F.col("fp").alias("_fp"), "component", "component_id"), "of")
+    release(comps, first)
     out = rows.select("doc_id", "fp", "n").join(of, (F.col("fp") == F.col("_fp")) & (F.col("n") > 0), "left")
     return out.select("doc_id", "fp", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
 
@@ -307,25 +334,30 @@ def _link(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row of each component of ``docs``: the one with the smallest (doc_id, fp); of rows equal
     in both, one. Rows that share an id but not a text are judged each by its own component. Rows
-    without shingles, and rows without an id, all stay."""
-    linked = keep(_link(docs, n, num, den), "linked").where("doc_id IS NOT NULL")
-    own = linked.where("n_shingles > 0").groupBy("component", "doc_id", "fp").count()
+    without shingles, and rows without an id, all stay. An empty table gives an empty one; columns keep
+    their values, whatever their names."""
+    id_, fp, row, at = free_name(docs, "_id", "_fp", "_row", "_at")
+    linked = keep(_link(docs, n, num, den), "linked")
+    named = linked.where("doc_id IS NOT NULL")
+    own = named.where("n_shingles > 0").groupBy("component", "doc_id", "fp").count()
     best = own.groupBy("component").agg(F.min(F.struct("doc_id", "fp")).alias("best")).select(F.col("component").alias("_c"), "best")
     gone = own.join(best, F.col("component") == F.col("_c")).where(F.struct("doc_id", "fp") > F.col("best"))
-    gone = keep(gone.select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")), "gone")
-    twice = keep(linked.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id")), "twice")
+    gone = keep(gone.select(F.col("doc_id").alias(id_), F.col("fp").alias(fp)), "gone")
+    twice = keep(named.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_)), "twice")
+    release(linked)
+    same = F.col("doc_id") == F.col(id_)
     if not twice.limit(1).count():
-        return docs.join(small_side(gone.select("_id")), F.col("doc_id") == F.col("_id"), "left_anti")
+        return docs.join(small_side(gone.select(id_)), same, "left_anti")
     repeated = small_side(twice)
-    once = gone.join(repeated, "_id", "left_anti").select("_id")
-    single = docs.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti").join(small_side(keep(once, "once")), F.col("doc_id") == F.col("_id"), "left_anti")
-    many = keep(docs.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_row", F.monotonically_increasing_id()), "many")
-    fps = _profiles(many.select(F.col("_row").alias("doc_id"), "text"), n).select(F.col("doc_id").alias("_at"), "fp", "n")
-    rows = many.select("doc_id", "_row").join(fps, F.col("_row") == F.col("_at"))
-    full = rows.where("n > 0").groupBy("doc_id", "fp").agg(F.min("_row").alias("_row"))
-    full = full.join(small_side(gone), (F.col("doc_id") == F.col("_id")) & (F.col("fp") == F.col("_fp")), "left_anti")
-    stay = keep(rows.where("n = 0").select("_row").union(full.select("_row")).select(F.col("_row").alias("_at")), "stay")
-    return single.unionByName(many.join(small_side(stay), F.col("_row") == F.col("_at"), "left_semi").drop("_row"))
+    once = gone.join(repeated, id_, "left_anti").select(id_)
+    single = docs.join(repeated, same, "left_anti").join(small_side(keep(once, "once")), same, "left_anti")
+    many = keep(docs.join(repeated, same, "left_semi").withColumn(row, F.monotonically_increasing_id()), "many")
+    fps = _profiles(many.select(F.col(row).alias("doc_id"), "text"), n).select(F.col("doc_id").alias(at), F.col("fp").alias("fp_"), "n")
+    rows = many.select("doc_id", row).join(fps, F.col(row) == F.col(at))
+    full = rows.where("n > 0").groupBy("doc_id", "fp_").agg(F.min(row).alias(row))
+    full = full.join(small_side(gone), same & (F.col("fp_") == F.col(fp)), "left_anti")
+    stay = keep(rows.where("n = 0").select(row).union(full.select(row)).select(F.col(row).alias(at)), "stay")
+    return single.unionByName(many.join(small_side(stay), F.col(row) == F.col(at), "left_semi").drop(row))
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

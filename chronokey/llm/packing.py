@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless, keep, table
+from .common import free_name, gapless, keep, table
 from .mixing import n_words
 
 
@@ -61,25 +61,35 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budge
     the driver, as D distinct lengths take texts of D * D / 2 tokens in all. A bucket of bound L fills batches of
     max(1, budget // L) rows, in the order given; its last batch may be short. Rows of length 0
     (null or empty texts) share the first bucket. A row longer than the budget is a batch of its
-    own. Nothing is cut or dropped.
+    own. Nothing is cut or dropped. Null values of the order columns come first, rows equal in all of
+    them (repeated rows) in any order; columns named as the added ones (``ADDED``) are replaced, all
+    others stay as they are, whatever their names; an empty table gives an empty one.
     """
-    length = n_words(F.col("text")) if length is None else length
-    rows = keep(docs.withColumn("n_tokens", length), "lengths")  # words are counted once
-    return _pack(rows, buckets, budget, order)
+    own, = free_name(docs, "_length")
+    rows = keep(docs.withColumn(own, (n_words(F.col("text")) if length is None else length).cast("long")), "lengths")  # words are counted once
+    return _pack(rows, own, buckets, budget, order)
 
 
-def _pack(rows: DataFrame, buckets: int, budget: int, order: tuple[str, ...]) -> DataFrame:
-    hist = rows.groupBy(F.col("n_tokens").cast("long").alias("len")).count().orderBy("len").collect()
+#: The columns that packing adds.
+ADDED = ("n_tokens", "bucket", "bucket_len", "batch", "batch_row", "padding")
+
+
+def _pack(rows: DataFrame, length: str, buckets: int, budget: int, order: tuple[str, ...]) -> DataFrame:
+    """``rows`` without the column ``length``, and what packing adds to them."""
+    bucket, row = free_name(rows, "_bucket", "_at")
+    hist = rows.groupBy(F.col(length).alias("len")).count().orderBy("len").collect()
     bounds = optimal_bounds(np.array([r["len"] for r in hist]), np.array([r["count"] for r in hist]), buckets)
-    bucket = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>"), lambda b: b < F.col("n_tokens")))
-    placed = rows.withColumn("bucket", bucket)
-    bound = F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds or [0]]), F.col("bucket") + 1)
-    numbered = gapless(placed, ["bucket"], list(order), "_row").withColumn("bucket_len", bound)
-    room = F.greatest(F.lit(1), F.expr(f"{budget} div greatest(bucket_len, 1)")).cast("long")
-    out = numbered.withColumn("_room", room).withColumn("batch", F.expr("_row div _room")).withColumn("batch_row", F.expr("_row % _room"))
-    return out.withColumn("padding", F.col("bucket_len") - F.col("n_tokens")).drop("_row", "_room")
+    limits = F.array(*[F.lit(b).cast("long") for b in bounds or [0]])
+    placed = rows.withColumn(bucket, F.size(F.filter(limits, lambda b: b < F.col(length))) if bounds else F.lit(0))
+    numbered = gapless(placed, [bucket], list(order), row)
+    n, bound, at = F.col(length), F.element_at(limits, F.col(bucket) + 1), F.col(row)
+    room = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(bound, F.lit(1))))
+    batch = F.floor(at / room)
+    made = dict(zip(ADDED, (n, F.col(bucket), bound, batch, at - batch * room, bound - n), strict=True))
+    return numbered.select(*[c for c in rows.columns if c not in (length, *ADDED)], *[c.alias(k) for k, c in made.items()])
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
-    slim = keep(table(spark, sf_dir, "documents").select("doc_id", n_words(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("_text")), "lengths")
-    return _pack(slim, 16, 16384, ("doc_id", "n_tokens", "_text")).drop("_text")
+    """All ``documents`` in batches, by doc_id; rows equal in doc_id, size and text are interchangeable."""
+    slim = keep(table(spark, sf_dir, "documents").select("doc_id", n_words(F.col("text")).alias("_length"), F.xxhash64("text").alias("_text")), "lengths")
+    return _pack(slim, "_length", 16, 16384, ("doc_id", "_length", "_text")).drop("_text")

@@ -7,13 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import keep, release, table
 
 #: Random features, the kernel's width in standard deviations, and the ridge.
 FEATURES, WIDTH, RIDGE, SEED = 256, 6.0, 1e-2, 7
+#: Labelled rows that the model is fitted on, at most.
+SAMPLE = 50_000
 #: Bins of the calibration.
 BINS = 512
 _WORD = re.compile(r"[^\W\d_]+")
@@ -76,7 +79,7 @@ class Model:
         return self.features(x) @ self.beta
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        r = self.raw(x)
+        r = np.concatenate([self.raw(x[a : a + 512]) for a in range(0, len(x), 512)]) if len(x) else np.zeros(0)
         fitted = np.interp(r, self.edges, self.values)
         return np.clip(0.98 * fitted + 0.02 * np.clip(r, 0, 1), 0.0, 1.0)  # the ridge score orders what calibrates alike
 
@@ -95,32 +98,36 @@ def isotonic(y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Fit on all rows of (x, y, calibrate); those with ``calibrate`` only shape the calibration.
+    """Fit on all rows of (x, y, w, calibrate), w the weight; those with ``calibrate`` only shape the calibration.
 
     Each partition adds up its part of the normal equations, a matrix of a fixed size; the parts
     are summed row of the matrix by row of the matrix, so that the driver gets one matrix. Without
     rows of both kinds every score is 0.5.
     """
     k = len(STATS)
-    moments = labelled.select(*[F.avg(F.element_at("x", i + 1)).alias(f"m{i}") for i in range(k)], *[F.stddev_pop(F.element_at("x", i + 1)).alias(f"s{i}") for i in range(k)]).first()
-    mean = np.array([moments[f"m{i}"] or 0.0 for i in range(k)])
-    scale = np.array([moments[f"s{i}"] or 0.0 for i in range(k)])
+    x, w = [F.element_at("x", i + 1) for i in range(k)], F.col("w")
+    moments = labelled.agg(F.sum(w).alias("w"), *[F.sum(c * w).alias(f"m{i}") for i, c in enumerate(x)], *[F.sum(c * c * w).alias(f"s{i}") for i, c in enumerate(x)]).first()
+    n = moments["w"] or 1.0
+    mean = np.array([(moments[f"m{i}"] or 0.0) / n for i in range(k)])
+    scale = np.sqrt(np.maximum(0, np.array([(moments[f"s{i}"] or 0.0) / n for i in range(k)]) - mean**2))
     model = Model(mean, np.where(scale > 1e-9, scale, 1.0))
 
     def equations(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((FEATURES + 1, FEATURES + 3))
+        total = np.zeros((FEATURES + 1, FEATURES + 2))
         for p in parts:
             if len(p):
-                a = model.features(np.stack(p["x"].to_numpy()))
-                y = p["y"].to_numpy(float)
-                total += np.hstack([a.T @ a, (a.T @ y)[:, None], a.sum(0)[:, None]])
+                x, y, w = np.stack(p["x"].to_numpy()), p["y"].to_numpy(float), p["w"].to_numpy(float)
+                for s in (slice(i, i + 512) for i in range(0, len(x), 512)):
+                    a = model.features(x[s])
+                    b = a * w[s, None]
+                    total += np.hstack([b.T @ a, (b.T @ y[s])[:, None]])
         yield pd.DataFrame({"row": np.arange(len(total)), "v": list(total)})
 
     def add(p: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"row": [p["row"].iloc[0]], "v": [np.sum(np.stack(p["v"].to_numpy()), axis=0)]})
 
     shape = "row int, v array<double>"
-    rows = labelled.where("NOT calibrate").select("x", "y").mapInPandas(equations, shape).groupBy("row").applyInPandas(add, shape).collect()
+    rows = labelled.where("NOT calibrate").select("x", "y", "w").mapInPandas(equations, shape).groupBy("row").applyInPandas(add, shape).collect()
     if rows:
         m = np.stack([np.array(r["v"]) for r in sorted(rows, key=lambda r: r["row"])])
         model.beta = np.linalg.solve(m[:, : FEATURES + 1] + RIDGE * np.eye(FEATURES + 1), m[:, FEATURES + 1])
@@ -129,9 +136,9 @@ def fit(labelled: DataFrame) -> Model:
         for p in parts:
             if len(p):
                 r = model.raw(np.stack(p["x"].to_numpy()))
-                yield pd.DataFrame({"bin": np.clip(np.floor((r + 0.5) / 2 * BINS), 0, BINS - 1).astype(int), "y": p["y"].to_numpy(float)})
+                yield pd.DataFrame({"bin": np.clip(np.floor((r + 0.5) / 2 * BINS), 0, BINS - 1).astype(int), "y": p["y"].to_numpy(float), "w": p["w"].to_numpy(float)})
 
-    bins = labelled.where("calibrate").select("x", "y").mapInPandas(raw, "bin int, y double").groupBy("bin").agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
+    bins = labelled.where("calibrate").select("x", "y", "w").mapInPandas(raw, "bin int, y double, w double").groupBy("bin").agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("y"), F.sum("w").alias("n")).orderBy("bin").collect()
     if bins:
         n = np.array([r["n"] for r in bins], float)
         y = (np.array([r["y"] for r in bins]) * n + 0.5) / (n + 1)
@@ -139,34 +146,62 @@ def fit(labelled: DataFrame) -> Model:
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text).
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality).
 
-    The model learns from ``labels`` (doc_id, quality) of documents whose CRC-32 of the id, as
-    text, leaves no 0 by 5: remainders 2 to 4 give the ridge, 1 the calibration. Only statistics
-    of the text enter a score. Null labels and labels of unknown documents count for nothing, of
-    repeated ones each counts; null and empty texts get the score that their statistics have; a
-    null id is never held out.
+    It learns from documents whose CRC-32 of the id, as text, leaves no 0 by 5: remainders 2 to 4 give
+    the ridge, 1 the calibration. Beyond ``SAMPLE`` labelled ids, it learns from those whose hash lies
+    below the share that gives about so many (the classifier's documented bound; all documents are
+    scored). Only the texts of these are described.
     """
-    flat = keep(describe(docs), "statistics")
-    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
-    flat = flat.withColumn("fold", F.coalesce(fold, F.lit(1)))
     marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("y"))
-    learn = flat.where("fold <> 0").join(marks, F.col("doc_id") == F.col("_id"))
-    model = fit(keep(learn.select("x", "y", (F.col("fold") == 1).alias("calibrate")), "labelled"))
+    marks = marks.withColumn("fold", _fold(F.col("_id"))).where("fold <> 0").groupBy("_id", "y", "fold").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    marks = keep(marks, "labels")
+    share = SAMPLE / max(SAMPLE, marks.count())
+    some = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    known = F.broadcast(some.select("_id").distinct())  # about SAMPLE rows at most
+    described = describe(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id"), "left_semi"))
+    labelled = keep(described.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("x", "y", "w", (F.col("fold") == 1).alias("calibrate")), "labelled")
+    model = fit(labelled)
+    release(marks, labelled)
+    return model
+
+
+def _fold(doc_id: Column) -> Column:
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)), F.lit(1))
+
+
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text), by ``train``.
+
+    Only statistics of the text enter a score. Null labels and labels of unknown documents count for
+    nothing, of repeated ones each counts; null and empty texts get the score that their statistics
+    have; a null id is never held out; other columns are not read, whatever their names; repeated
+    rows are scored each; an empty table gives an empty one.
+    """
+    model = train(docs, labels)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            s = model.score(np.stack(p["x"].to_numpy())) if len(p) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": p["doc_id"], "held_out": p["fold"] == 0, "score": s, "predicted": (s >= threshold).astype("int32")})
+            s = model.score(np.array([statistics(t) for t in p["text"]])) if len(p) else np.zeros(0)
+            yield pd.DataFrame({"doc_id": p["doc_id"], "held_out": p["held_out"], "score": s, "predicted": (s >= threshold).astype("int32")})
 
-    return flat.select("doc_id", "x", "fold").mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (_fold(F.col("doc_id")) == 0).alias("held_out"))
+    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that aren't rejected, with their columns."""
-    scored = score(docs, labels, threshold).where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep(scored, "kept").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id"))).select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs`` that aren't rejected, with their columns: each row is judged by its own
+    text, whatever ids repeat or are null, in the pass that reads it."""
+    model = train(docs, labels)
+    text = docs.columns.index("text")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            if p.num_rows:
+                yield p.filter(pa.array(model.score(np.array([statistics(t) for t in p.column(text).to_pylist()])) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def batches(texts: list[str | None], most: int = 1 << 22) -> list[tuple[int, int]]:
+def batches(texts: list[str | None], most: int = 1 << 19) -> list[tuple[int, int]]:
     """Slices of ``texts`` of about ``most`` characters; a longer text is a slice of its own."""
     out, start, size = [], 0, 0
     for i, t in enumerate(texts):
