@@ -180,17 +180,104 @@ def test_language_model(spark, odd):
     assert mixing_lm.score(odd, 100, 12).count() == 9 and mixing_lm.score(odd.limit(0), 100, 12).count() == 0
 
 
-def test_language_model_sums_to_one():
-    """Each node's two decisions have probabilities that add up, so those of all words do."""
-    words_ = np.array([5, 9, 2**60], np.uint64)
-    coder = mixing_lm.Coder(words_, np.array([5, 3, 1]), 2, 4, np.ones(257), 12)
-    tables = [mixing_lm.packed(*np.random.default_rng(k).integers(0, 9, (2, 1 << 12)).astype(float)) for k in range(2)]
-    m = mixing_lm.Mixer(coder, tables)
-    first = [[s, coder.end] for s in range(3)] + [[coder.end]]
-    p = {k: 10 ** m.score(np.array(s, np.int32), np.array([0, len(s)]))[0] for k, s in enumerate(first)}
-    nexts = sum(10 ** m.score(np.array([0, s], np.int32), np.array([0, 2]))[0] for s in (*range(3), coder.end, coder.esc))
-    alone = 10 ** m.score(np.array([0], np.int32), np.array([0, 1]))[0]
-    assert sum(p.values()) <= 1 and math.isclose(nexts, alone, rel_tol=1e-5)
+def test_language_model_trees():
+    """Each context's leaves have probabilities that add up to one, near what was counted."""
+    counts = np.random.default_rng(0).poisson(np.outer([0.1, 3, 50, 0], 9.0 / np.arange(1, 42)))
+    p = np.exp(mixing_lm.blend(counts + 0.001))
+    assert np.allclose(p.sum(1), 1, atol=1e-4) and np.abs(p[2] - counts[2] / counts[2].sum()).max() < 0.05
+    assert mixing_lm.blend(np.ones((3, 1))).shape == (3, 1)
+
+
+def _letters(k, word):
+    before = [256, 256]
+    out = 0.0
+    for c in [*word, 256]:
+        slot = ((before[-1] * 257 + before[-2]) * 0x9E3779B1 & 0xFFFFFFFF) >> 20
+        out += float(k.letters[slot, c])
+        before.append(c)
+    return out
+
+
+def test_language_model_against_brute_force(spark, monkeypatch):
+    """Counts without the own text, decisions and words text by text, and the mixer token by token."""
+    kept = {}
+    real = mixing_lm.keep
+    monkeypatch.setattr(mixing_lm, "keep", lambda df, name: kept.setdefault(name, real(df, name)))
+    monkeypatch.setattr(mixing_lm, "release", lambda *df: None)
+    monkeypatch.setattr(mixing_lm, "learn", lambda settled, f=mixing_lm.learn: kept.setdefault("learnt", f(settled)))
+    coders = []
+    monkeypatch.setattr(mixing_lm, "model", lambda *a, f=mixing_lm.model: coders.append(f(*a)) or coders[-1])
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").limit(120)
+    docs = docs.union(spark.createDataFrame([(9000, "a a a a b"), (9001, "a a b"), (9002, ""), (9003, None), (9004, "zzz qqqq")], "doc_id long, text string"))
+    got = mixing_lm.score(docs, 300, 10).toPandas().set_index("doc_id")
+    k = coders[0][0]
+    says, start = kept["learnt"]
+    texts = {r["doc_id"]: [b"<s>", *[w for w in re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (r["text"] or "").encode()))], b"</s>"] for r in docs.collect()}
+    train = {i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2}
+    one, two, three = (sum((Counter(tuple(t[j : j + n]) for j in range(1 if n == 1 else 0, len(t) - n + 1)) for i, t in texts.items() if i in train), Counter()) for n in (1, 2, 3))
+    pads = sum((Counter({(b"<s>", *t[:2]): 1}) for i, t in texts.items() if i in train), Counter())
+    three += pads
+    from chronokey.llm.words import hashes, spans
+
+    def leaf(w):
+        if w == b"</s>":
+            return k.end
+        data, a, b, _ = spans([w.decode()])
+        return int(k.word_ids(hashes(data, a, b))[0])
+
+    size = lambda n, most: min(most, int(np.frexp(float(n))[1]))
+    for i, t in texts.items():
+        own = lambda n: Counter(tuple(t[j : j + n]) for j in range(len(t) - n + 1)) if i in train else Counter()  # noqa: E731, B023
+        o2, o3 = own(2), own(3)
+        if i in train:
+            o3[(b"<s>", *t[:2])] += 1
+        common, total, rows = mixing_lm.COMMON, 0.0, []
+        ctx2 = 0
+        for j in range(1, len(t)):
+            g2, g3 = (t[j - 1], t[j]), (t[j - 2] if j > 1 else b"<s>", t[j - 1], t[j])
+            n2, n3 = two[g2] - o2[g2], three[g3] - o3[g3]
+            ctx1 = one[(t[j - 1],)] if j > 1 else len(train)
+            w = leaf(t[j])
+            b2 = ctx2 > 0 and n3 > 0
+            b1 = not b2 and ctx1 > 0 and n2 > 0
+            if b2 or b1:
+                total += math.log(n3 / ctx2 if b2 else n2 / ctx1)
+            else:
+                total += float(k.leaves[common, w])
+                if w == k.esc:
+                    c = one[(t[j],)]
+                    total += math.log((c or k.rare_types) / (k.rare + k.rare_types)) + (0 if c else _letters(k, t[j]))
+            rows.append((size(ctx2, 15), size(math.sqrt(ctx1), 15), b2, b1, size(n3, 15)))
+            ctx2 = n2
+            common = w if w < mixing_lm.COMMON else common
+        for order in range(2):
+            weight, bias = start[order].astype(float).copy(), np.zeros(16)
+            up = [(np.zeros((16, 3)), np.zeros((16, 3)), np.zeros(16), np.zeros(16))]
+            history, run, limit = [], 0, 16
+            for j, (s2, s1, b2, b1, level) in enumerate(rows):
+                if j == limit:
+                    gw, hw, gb, hb = up[-1]
+                    weight += 0.5 * gw / (hw + 20)
+                    bias += 0.7 * gb / (hb + 2)
+                    up.append((np.zeros((16, 3)), np.zeros((16, 3)), np.zeros(16), np.zeros(16)))
+                    limit += min(mixing_lm.LONGEST, limit)
+                bit = b2 if order == 0 else b2 or b1
+                if s2 > 0 if order == 0 else s1 > 0 and not b2:
+                    past = sum(int(x) << n for n, x in enumerate(reversed(history[-8:])))
+                    x = np.array([says[order, 0, s2 * 16 + s1], says[order, 1, past], says[order, 2, size(run, 15) * 16 + (rows[j - 1][4] if j else 0)]], float)
+                    g = min(size(run, 15), 3) * 4 + min(s2, 3)
+                    sign = 1 if bit else -1
+                    q = 1 / (1 + math.exp(-min(12, max(-12, weight[g] @ x + bias[g])) * sign))
+                    total += math.log(q)
+                    gw, hw, gb, hb = up[-1]
+                    gw[g] += sign * (1 - q) * x
+                    hw[g] += q * (1 - q) * x * x
+                    gb[g] += sign * (1 - q)
+                    hb[g] += q * (1 - q)
+                history.append(bit)
+                run = run + 1 if bit else 0
+        assert math.isclose(got.score[i], total / math.log(10), rel_tol=2e-4, abs_tol=2e-3), i
+    assert got.score.sum() > got.base_score.sum()
 
 
 def test_token_counts(spark, odd):
@@ -243,6 +330,60 @@ def test_html_attributes():
     assert html_text.extract(f"<body><div class='site-header'>Off</div><div id=x>{text}</div></body>") == "Some words of the story."
 
 
+def test_html_articles_and_comments():
+    story = "<p>Some words of the long story here.</p>" * 5
+    want = "\n".join(["T", *["Some words of the long story here."] * 5])
+    for page in (
+        f"<body><article><h1>T</h1>{story}</article><article class='comment'><p>I disagree with this whole story</p></article></body>",
+        f"<body><main><h1>T</h1>{story}<article class=comment><p>I disagree with this whole story</p></article></main></body>",
+        f'<body><div class="layout with-sidebar"><h1>T</h1>{story}</div></body>',
+        f'<body><div class="entry has-comments"><h1>T</h1>{story}</div></body>',
+        f'<body><div class="sidebar"><h1>T</h1>{story}</div><div class="comments"><p>No.</p></div></body>',
+        f"<body><article class='teaser'><p>Short.</p></article><article><h1>T</h1>{story}</article></body>",
+    ):
+        assert html_text.extract(page).removeprefix("Short.\n") == want
+    assert html_text.extract(f"<body><article><h1>T</h1>{story}<p class='legal'>Law words.</p></article></body>") == want + "\nLaw words."
+
+
+def test_html_is_linear(spark):
+    import time
+
+    start = time.process_time()
+    pages = ["<a " + '"x" ' * 10_000, '<div class="x y">' * 50_000 + "t", '<a ">" ' * 50_000, "<div>" * 20_000 + "</b>" * 50_000, "<a " * 100_000, "<ul><li>" * 30_000, "<article class=q>" * 30_000 + "x", "<!--" * 50_000]
+    assert [html_text.extract(p)[:3] for p in pages[1:2]] == ["t"] and all(isinstance(html_text.extract(p), str) for p in pages)
+    assert time.process_time() - start < 60
+    rows = spark.createDataFrame([(1, "u", "<p>x</p>"), (1, "u", "<p>x</p>")], "page_id long, url string, html string")
+    assert html_text.texts(rows).count() == 2 and html_text.texts(rows.limit(0)).count() == 0
+
+
+def test_gapless(spark):
+    from chronokey.llm.common import gapless
+
+    r = np.random.default_rng(0)
+    rows = [(int(g), None if v == 7 else int(v) if v < 60 else 1000, int(w)) for g, v, w in zip(r.integers(0, 3, 900), r.integers(0, 100, 900), r.integers(0, 5, 900), strict=True)]
+    df = spark.createDataFrame(rows, "g int, _s long, _lead int")
+    for per in (20, 10_000):  # the numbers are the same at every size
+        got = gapless(df, ["g"], ["_s", "_lead"], "n", per).toPandas()
+        seen = {}
+        for g, x in got.groupby("g"):
+            x = x.sort_values("n")
+            assert x.n.tolist() == list(range(len(x))) and x["_s"].fillna(-1).is_monotonic_increasing
+            seen[g] = list(zip(x["_s"].fillna(-1), x["_lead"], strict=True))
+        assert per == 20 or seen == before  # noqa: F821
+        before = seen  # noqa: F841
+
+
+def test_clashing_columns(spark):
+    """Callers' columns keep their values, whatever their names; only those named as an added one are replaced."""
+    names = ["_h", "_size", "_source", "times", "upto", "part", "edge", "_copy", "taken", "source_size", "_row", "_slice", "_s", "_id", "_length", "_bucket", "batch"]
+    docs = spark.createDataFrame([(i, f"w{i} " * (i + 3), "st"[i % 2], *[i * 100 + k for k in range(len(names))]) for i in range(12)], "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    ok = lambda df, skip=(): all(r[n] == r["doc_id"] * 100 + k for r in df.collect() for k, n in enumerate(names) if n not in skip)
+    assert ok(mixing.repeat(docs)) and ok(mixing.mix(docs), ("taken", "source_size")) and ok(packing.pack(docs), ("batch",)) and ok(ngram_join.keep_one(docs))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    good = quality.keep_good(docs.union(docs.where("doc_id = 3")), labels)
+    assert ok(good) and good.columns == docs.columns
+
+
 def vectors(spark, n=300):
     r = np.random.default_rng(2)
     x = r.normal(size=(n, 16))
