@@ -21,6 +21,8 @@ from .words import SPACE, U, batches, hashes, mix, spans
 VOCABULARY, COMMON = 1 << 16, 64
 #: Hashed contexts of two bytes each, for spelling.
 BYTE_CONTEXTS = 4096
+#: Characters of a slice of texts, whose n-grams are sent once.
+SLICE = 1 << 20
 #: Entries of the table of counts that one part holds, as a power of two: the parts grow with the input.
 PART_BITS = 21
 #: Refinements of a text's weights come after 16, 16, 32, 64, ... up to so many symbols.
@@ -258,9 +260,9 @@ def code(docs: DataFrame, shared) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, z = shared.value, zstandard.ZstdCompressor(level=1)
         batch = TaskContext.get().partitionId() << 32
-        for p in (q.slice(a, 1024) for q in parts for a in range(0, q.num_rows, 1024)):
+        for p in (q.slice(a, 2048) for q in parts for a in range(0, q.num_rows, 2048)):
             texts, learns = p.column(1).to_pylist(), p.column(2).to_numpy(zero_copy_only=False)
-            for x, y in batches(texts):
+            for x, y in batches(texts, SLICE):
                 data, starts, ends, first = spans(texts[x:y])
                 h = hashes(data, starts, ends)
                 word = k.word_ids(h)
@@ -339,8 +341,8 @@ class Slice:
 def look_up(coded: DataFrame, shared, parts: int) -> DataFrame:
     """(batch, part, counts): how often training texts hold each distinct n-gram of each slice.
 
-    A slice sends an n-gram once, with its own count; the ``parts`` go by hash, add up, and answer
-    every slice in the order asked. No n-gram has more rows than there are slices.
+    A slice sends an n-gram once, in the order of hashes (whose first bytes take little room so), with
+    its own count; the ``parts`` go by hash, add up, and answer every slice in the order asked. No n-gram has more rows than there are slices.
     """
 
     def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,11 +354,11 @@ def look_up(coded: DataFrame, shared, parts: int) -> DataFrame:
                 part = (((h >> U(40)) * U(parts)) >> U(24)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(part, prepend=-1) != 0)
                 ends = np.append(cuts[1:], len(h))
-                yield pa.RecordBatch.from_pydict({"batch": [row["batch"]] * len(cuts), "part": part[cuts].astype(np.int32), "hash": [_planes(h[a:b], 6, z) for a, b in zip(cuts, ends, strict=True)], "n": [_planes(c[a:b], 4, z) for a, b in zip(cuts, ends, strict=True)]}, schema=_schema("batch long, part int, hash binary, n binary"))
+                yield pa.RecordBatch.from_pydict({"batch": [row["batch"]] * len(cuts), "part": part[cuts].astype(np.int32), "hash": [_planes(h[a:b] >> U(8), 7, z) for a, b in zip(cuts, ends, strict=True)], "n": [_planes(c[a:b], 4, z) for a, b in zip(cuts, ends, strict=True)]}, schema=_schema("batch long, part int, hash binary, n binary"))
 
     def answer(t: pa.Table) -> pa.Table:
         d, z = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        asked = [_unplane(b.as_py(), 6, d) for b in t.column("hash")]
+        asked = [_unplane(b.as_py(), 7, d) for b in t.column("hash")]
         h, n = np.concatenate(asked), np.concatenate([_unplane(b.as_py(), 4, d).astype(np.int64) for b in t.column("n")])
         order = np.argsort(h)
         first = np.flatnonzero(np.diff(h[order], prepend=~h[order[:1]]) != 0)
@@ -602,7 +604,7 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY, part_bits: int = PART_B
     Defined results: null and empty texts are one end; a null id is not held out; repeated rows
     are scored, and train, each; an empty table gives an empty one; other columns are not read, whatever
     their names. bits_per_byte is null for texts without bytes. Escapes and n-grams are told apart by
-    48 bits of hash besides their part.
+    56 bits of hash.
     """
     coder, counts = model(docs.where(_learns(F.col("doc_id"))), vocabulary)
     context = docs.sparkSession.sparkContext
