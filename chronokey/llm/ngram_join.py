@@ -93,8 +93,24 @@ class Blocks:
         return self.cache[i]
 
     def keys(self, s: np.ndarray) -> np.ndarray:
-        """Join keys of a set of sorted hashes: two linked sets have one in common."""
-        out, own = [], self.band(len(s))
+        """Join keys of a set of sorted hashes: two linked sets have one in common. The lowest bit of
+        a key is that of its band."""
+        out = []
+        for i, which, digest, _ in self._bands(s):
+            out.append(_mix(digest + which * U(0xD6E8FEB86659FD93) + U((i + 1) * 0xCA5A826395121157 & 0xFFFFFFFFFFFFFFFF)) & ~U(1) | U(i & 1))
+        return np.concatenate(out)
+
+    def spare(self, s: np.ndarray) -> tuple[int, int]:
+        """By lowest bit of a key: how many keys a set has in common with any linked one, less one. So
+        many of its keys it can leave out, if all sets leave out those that come first in one order:
+        of the keys that two linked sets share, the last one is among neither's."""
+        out = [0, 0]
+        for i, _, _, free in self._bands(s):
+            out[i & 1] = free
+        return out[0], out[1]
+
+    def _bands(self, s: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        own = self.band(len(s))
         for i in (own, own + 1):
             k, low, high = self.of(i)
             if i > own and len(s) < low:
@@ -105,11 +121,11 @@ class Blocks:
             which = block[first]
             # blocks that must agree with any partner, less one
             sure = k - 1 - self.distance(len(s), min(high, len(s) * self.den // self.num))
-            if k - len(first) > sure:
+            free = sure - (k - len(first))
+            if free < 0:
                 empty = np.setdiff1d(np.arange(k, dtype=U), which)
-                which, digest = np.concatenate([which, empty]), np.concatenate([digest, np.zeros(len(empty), U)])
-            out.append(_mix(digest + which * U(0xD6E8FEB86659FD93) + U((i + 1) * 0xCA5A826395121157 & 0xFFFFFFFFFFFFFFFF)))
-        return np.concatenate(out)
+                which, digest, free = np.concatenate([which, empty]), np.concatenate([digest, np.zeros(len(empty), U)]), sure
+            yield i, which, digest, free
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -147,14 +163,16 @@ def _keys(docs: DataFrame, n: int, blocks: Blocks) -> DataFrame:
     return _each(docs, n, "key long, fp long", make)
 
 
-def _sketches(docs: DataFrame, n: int) -> DataFrame:
-    """(fp, n, sketch) of each row; the sketch has the parities of SKETCH bits."""
+def _sketches(docs: DataFrame, n: int, blocks: Blocks) -> DataFrame:
+    """(fp, n, free, sketch) of each row; the sketch has the parities of SKETCH bits, free the keys
+    that may be left out (``Blocks.spare``)."""
 
     def make(ids, fp, sets):
         bits = [np.packbits((np.bincount((s & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes() for s in sets]
-        return {"fp": pa.array(fp), "n": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array(bits, pa.binary())}
+        free = [list(blocks.spare(s)) if len(s) else [0, 0] for s in sets]
+        return {"fp": pa.array(fp), "n": pa.array([len(s) for s in sets], pa.int64()), "free": pa.array(free, pa.list_(pa.int32())), "sketch": pa.array(bits, pa.binary())}
 
-    return _each(docs, n, "fp long, n long, sketch binary", make)
+    return _each(docs, n, "fp long, n long, free array<int>, sketch binary", make)
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -265,11 +283,13 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     """(doc_id, fp, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
     Two rows link when ``den`` * |A and B| >= ``num`` * |A or B| for their sets of word n-grams;
-    component_id is the smallest doc_id reachable by links. Exact: equal sets form one node; of
-    each bucket of equal block digests, every node is first compared with the bucket's first
-    node and with the one before it; then all pairs of a bucket whose nodes are not yet in one
-    component are screened by sketch, in chunks, and what passes is verified. No bucket's pairs
-    are all listed, and none is dropped.
+    component_id is the smallest doc_id reachable by links. Exact, up to collisions of 64-bit hashes
+    of shingles and sets: equal sets form one node; of each bucket of equal block digests, every
+    node is first compared with the bucket's first node, then with the one before it if these have
+    not met; of larger buckets whose nodes are not yet in one component, each node leaves out as many
+    as it shares with any linked one but for one, the largest ones first, and all pairs of the others
+    are screened by sketch, in chunks, and what passes is verified. No bucket's pairs are all listed,
+    and no link is dropped.
 
     Defined results: null, empty and blank texts have no shingles and link with nothing, not even
     each other (component_id is their own id); rows with equal id count as variants of one text if
@@ -292,36 +312,54 @@ def _link(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         "key", "fp", F.first("fp").over(bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("leader"),
         F.lag("fp").over(bucket).alias("before"), F.lead("fp").over(bucket).alias("after"))
     shared = keep(seen.where("(before IS NOT NULL AND before <> fp) OR (after IS NOT NULL AND after <> fp)").select("key", "fp", "leader", "before"), "shared")
-    near = shared.where("before IS NOT NULL").select("fp", F.explode(F.array_distinct(F.array("leader", "before"))).alias("other")).where("fp <> other")
-    pairs = keep(near.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct(), "pairs")
-
     fps = keep(shared.select("fp").distinct(), "bucketed")
     texts, ids = _texts_of(docs, first, fps)
-    sketches = keep(_sketches(texts, n).join(small_side(fps), "fp", "left_semi").dropDuplicates(["fp"]), "sketches")
+    sketches = keep(_sketches(texts, n, blocks).join(small_side(fps), "fp", "left_semi").dropDuplicates(["fp"]), "sketches")
     release(fps, ids)
-    screened = keep(_screened(pairs, sketches, num, den), "screened")
-    release(pairs)
-    links = _verified(screened, docs, first, n, num, den)
-    release(screened)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        screened = keep(_screened(pairs, sketches, num, den), "screened")
+        out = _verified(screened, docs, first, n, num, den)
+        release(screened)
+        return out
+
+    order = lambda other: (F.least("fp", other).alias("u"), F.greatest("fp", other).alias("v"))
+    links = linked(shared.where("leader <> fp").select(*order("leader")).distinct())
     comps = components(links)
+    # then those before, if that has not joined them yet
+    of = lambda side: small_side(comps.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")))
+    apart = shared.where("before <> leader AND before <> fp").select(*order("before")).join(of("u"), "u", "left").join(of("v"), "v", "left")
+    more = linked(apart.where("coalesce(c_u, u) <> coalesce(c_v, v)").select("u", "v").distinct())
+    if more.limit(1).count():
+        release(comps)
+        links = links.union(more)
+        comps = components(links)
 
     # of a bucket of three or less, all pairs were those of the first node and of the one before
     named = small_side(comps.withColumnRenamed("node", "fp"))
     inside = lambda rows: rows.select("key", "fp").join(named, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("comp"))
-    open_ = inside(shared).groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("rows"))
-    open_ = keep(open_.where("c0 < c1 AND rows > 3").select("key", F.ceil(F.col("rows") / F.lit(CHUNK)).cast("int").alias("chunks")), "open")
-    todo = inside(shared.join(small_side(open_.select("key")), "key", "left_semi")).distinct().join(small_side(open_), "key").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    todo = todo.join(sketches, "fp")  # a sketch goes once to its bucket's rows, and is copied for its chunks after that
+    sides = (F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("rows"))
+    open_ = keep(inside(shared).groupBy("key").agg(*sides).where("c0 < c1 AND rows > 3").select("key", "rows"), "open")
+    # nodes of two components that have not met share only keys of such buckets; each leaves out the
+    # keys of its largest ones, as many as it may
+    rest = inside(shared.join(small_side(open_.select("key")), "key", "left_semi")).distinct().join(small_side(open_), "key")
+    largest = Window.partitionBy("fp", "bit").orderBy(F.desc("rows"), "key")
+    rest = rest.join(sketches.select("fp", "free"), "fp").withColumn("bit", F.col("key").bitwiseAND(F.lit(1).cast("long")).cast("int"))
+    rest = rest.withColumn("place", F.row_number().over(largest)).where("place > element_at(free, bit + 1)").select("key", "fp", "comp")
+    rest = keep(rest, "rest")
+    chunks = keep(rest.groupBy("key").agg(*sides).where("c0 < c1").select("key", F.ceil(F.col("rows") / F.lit(CHUNK)).cast("int").alias("chunks")), "chunks")
+    todo = rest.join(small_side(chunks), "key").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    todo = todo.join(sketches.select("fp", "n", "sketch"), "fp")  # a sketch goes once to its bucket's rows, and is copied for its chunks after that
     other = F.sequence(F.lit(0), F.col("chunks") - 1)
     todo = todo.withColumn("other", F.explode(other)).select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "fp", "comp", "n", "sketch")
     across = keep(_across(todo, blocks), "across")
-    release(shared, open_, sketches)
+    release(shared, open_, sketches, rest, chunks)
     late = _verified(across, docs, first, n, num, den)
     release(across)
     if late.limit(1).count():
         release(comps)
         comps = components(links.union(late))
-    release(links, late)
+    release(links, more, late)
 
     of = first.join(comps, first.fp == comps.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "doc_id")
     ids = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
