@@ -31,7 +31,16 @@ def murmur64a(values: list[bytes], seed: int = 0) -> np.ndarray:
 
 @pandas_udf(LongType())
 def _murmur(values: pd.Series) -> pd.Series:
-    return pd.Series(murmur64a([bytes(v) for v in values]).view(np.int64))
+    """Strings of like lengths at a time, so that one long key pads no others; null for null."""
+    raw = [None if v is None else bytes(v) for v in values]
+    out = pd.Series([None] * len(raw), dtype="Int64")
+    groups: dict[int, list[int]] = {}
+    for i, v in enumerate(raw):
+        if v is not None:
+            groups.setdefault(len(v).bit_length(), []).append(i)
+    for at in groups.values():
+        out.iloc[at] = murmur64a([raw[i] for i in at]).view(np.int64)
+    return out
 
 
 def murmur(value: Column) -> Column:

@@ -34,7 +34,54 @@ def parse_milli(text: Column) -> Column:
     """Thousandths of a decimal text with at most three decimals; null if malformed or signed."""
     whole, part = F.regexp_extract(text, r"^(\d+)", 1), F.regexp_extract(text, r"\.(\d{1,3})$", 1)
     value = whole.try_cast("long") * 1000 + F.coalesce(F.rpad(part, 3, "0").try_cast("long"), F.lit(0))
-    return F.when(text.rlike(r"^\d{1,12}(\.\d{1,3})?$"), value)
+    return F.when(text.rlike(r"^\d{1,12}(\.\d{1,3})?\z"), value)
+
+
+def parse_int(text: Column) -> Column:
+    """A strict 64-bit integer: digits with at most a minus before; null for all else."""
+    return F.when(text.rlike(r"^-?[0-9]+\z"), text.try_cast("long"))
+
+
+def key_name(i: Column) -> Column:
+    return F.format_string("key:%010d", i)
+
+
+def replid() -> Column:
+    """40 random hex digits."""
+    return F.substring(F.sha2(F.call_function("uuid"), 256), 1, 40)
+
+
+def lease_bound(lease_ms: Column, drift: float, grace_ms: int) -> Column:
+    """How long a granter waits: trunc(lease * (1 + drift)) + grace."""
+    return (lease_ms * F.lit(1 + drift)).cast("long") + grace_ms
+
+
+def lease_held(lease_ms: Column, drift: float) -> Column:
+    """How long the holder may act: trunc(lease * (1 - drift))."""
+    return (lease_ms * F.lit(1 - drift)).cast("long")
+
+
+def unsigned_mod(hex64: Column, n: int) -> Column:
+    """Sixteen hex digits as an unsigned number, modulo ``n``."""
+    half = lambda at: F.conv(F.substring(hex64, at, 8), 16, 10).cast("long")
+    return ((half(1) % n) * ((1 << 32) % n) + half(9)) % n
+
+
+def resp_simple(text: Column) -> Column:
+    return F.concat(F.lit("+"), text, F.lit("\r\n"))
+
+
+def resp_error(text: Column) -> Column:
+    return F.concat(F.lit("-"), text, F.lit("\r\n"))
+
+
+def resp_integer(n: Column) -> Column:
+    return F.concat(F.lit(":"), n.cast("string"), F.lit("\r\n"))
+
+
+def resp_array(items: Column) -> Column:
+    """An array reply of encoded items."""
+    return F.concat(F.lit("*"), F.size(items).cast("string"), F.lit("\r\n"), F.array_join(items, ""))
 
 
 def bucket_text(tokens: Column, last_ms: Column) -> Column:
@@ -84,4 +131,4 @@ def glob_regex(pattern: str) -> str:
                 c = pattern[i]
             out.append(re.escape(c))
         i += 1
-    return "(?s)^" + "".join(out) + "$"
+    return "(?s)^" + "".join(out) + "\\z"

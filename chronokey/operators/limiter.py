@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MICRO = 1_000_000
 SHAPE = "key string, seq long, allowed boolean, remaining long, retry_ms long, reset_ms long, tokens_ut long, last_ms long"
@@ -34,18 +35,20 @@ def decide(state: tuple[int, int] | None, now: int, capacity: int, rate_milli: i
 
 
 def acquire(calls: DataFrame, capacity: int, rate_milli: int, cost: int, consume: bool = True) -> DataFrame:
-    """Decisions for ``calls`` (key, seq, now_ms): the recurrence isn't associative, so a key's calls
-    run in one task, in order of seq, batch by batch; only the bucket is held between them."""
+    """Decisions for ``calls`` (key, seq, now_ms, and peek if some of them only ask): the recurrence isn't
+    associative, so a key's calls run in one task, in order of seq, batch by batch; only the bucket is
+    held between them."""
+    calls = calls if "peek" in calls.columns else calls.withColumn("peek", F.lit(False))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, None
         for p in parts:
             rows = []
-            for k, seq, now in zip(p["key"], p["seq"], p["now_ms"], strict=True):
+            for k, seq, now, peek in zip(p["key"], p["seq"], p["now_ms"], p["peek"], strict=True):
                 if k != key:
                     key, state = k, None
-                answer, state = decide(state, now, capacity, rate_milli, cost, consume)
+                answer, state = decide(state, now, capacity, rate_milli, cost, consume and not peek)
                 rows.append((k, seq, *answer, *(state or (None, None))))
             yield pd.DataFrame(rows, columns=["key", "seq", "allowed", "remaining", "retry_ms", "reset_ms", "tokens_ut", "last_ms"]).astype({"tokens_ut": "Int64", "last_ms": "Int64"})
 
-    return calls.select("key", "seq", "now_ms").repartition("key").sortWithinPartitions("key", "seq").mapInPandas(run, SHAPE)
+    return calls.select("key", "seq", "now_ms", "peek").repartition("key").sortWithinPartitions("key", "seq").mapInPandas(run, SHAPE)

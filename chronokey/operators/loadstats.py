@@ -35,12 +35,83 @@ def variants(samples: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def indexed(samples: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """Elements floor(q n) (at most the last) of the sorted samples, and the population CV."""
-    w = Window.partitionBy(*by)
-    r = samples.withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    pick = [F.max(F.when(F.col("_i") == F.least(F.col("_n") - 1, F.floor(F.lit(q) * F.col("_n"))), F.col(value))).alias(name) for name, q in qs.items()]
+    """Elements floor(q n) (at most the last) of the sorted samples, and the population CV. Equal
+    values are counted before the one window."""
     x = F.col(value).cast("double")
-    return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *pick, (F.try_divide(F.stddev_pop(x), F.avg(x)) * 100).alias("cv_pop_pct"))
+    c = samples.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*by)
+    r = c.withColumn("_upto", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
+    at = lambda q: F.least(F.col("_n") - 1, F.floor(F.lit(q) * F.col("_n")))
+    pick = [F.min(F.when(F.col("_upto") > at(q), F.col(value))).alias(name) for name, q in qs.items()]
+    cv = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.try_divide(F.stddev_pop(x), F.avg(x)) * 100).alias("cv_pop_pct"))
+    return cv.join(r.groupBy(*by).agg(*pick), by).select(*by, "n", *qs, "cv_pop_pct")
+
+
+def intra_run_cv(counts: DataFrame, by: list[str], at: str = "second", n: str = "n") -> DataFrame:
+    """Sample CV in percent of a run's counts by time; of more than two buckets the last (it can be
+    partial) and empty ones don't count; 0 for fewer than two buckets or values."""
+    w = Window.partitionBy(*by)
+    r = counts.withColumn("_last", F.max(at).over(w)).withColumn("_k", F.count(F.lit(1)).over(w))
+    x = F.when((F.col(n) > 0) & ((F.col("_k") <= 2) | (F.col(at) < F.col("_last"))), F.col(n).cast("double"))
+    cv = F.when((F.max("_k") < 2) | (F.count(x) < 2) | (F.avg(x) == 0), 0.0).otherwise(F.try_divide(F.stddev_samp(x), F.avg(x)) * 100)
+    return r.groupBy(*by).agg(cv.alias("cv_pct"))
+
+
+def reproducibility(samples: DataFrame, config: list[str], file: str, value: str) -> DataFrame:
+    """One row (configs, median_pct, p90_pct, worst_pct) of the differences (max - min) / mean of each
+    configuration's medians by file; the 90th percentile is the element floor(0.9 (n - 1))."""
+    medians = samples.groupBy(*config, file).agg(F.expr(f"percentile(cast({value} as double), 0.5)").alias("m"))
+    d = medians.groupBy(*config).agg(((F.max("m") - F.min("m")) / F.avg("m") * 100).alias("d"))
+    return d.agg(F.count(F.lit(1)).alias("configs"), F.expr("percentile(d, 0.5)").alias("median_pct"), F.element_at(F.sort_array(F.collect_list("d")), F.floor(F.lit(0.9) * (F.count(F.lit(1)) - 1)).cast("int") + 1).alias("p90_pct"), F.max("d").alias("worst_pct"))  # a row a configuration
+
+
+def across(summary: DataFrame, by: list[str], binary: str, a: str, b: str) -> DataFrame:
+    """Change of the median of the same variants from one binary to another, in percent."""
+    side = lambda x, name: summary.where(F.col(binary) == x).select(*by, F.col("median").alias(name))
+    return side(a, "median_a").join(side(b, "median_b"), by).withColumn("change_pct", (F.col("median_b") - F.col("median_a")) / F.col("median_a") * 100)
+
+
+def per_fsync(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Records a flush of the last repetition (rep, records, fsyncs); counters are cumulative."""
+    last = runs.groupBy(*by).agg(F.max_by(F.struct("records", "fsyncs"), "rep").alias("l"))
+    return last.select(*by, F.try_divide(F.col("l.records").cast("double"), F.col("l.fsyncs")).alias("records_per_fsync"))
+
+
+def cores(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Median over runs (cpu: seconds by thread, wall_s) of all threads' seconds / wall seconds."""
+    used = F.aggregate(F.map_values("cpu"), F.lit(0.0), lambda a, x: a + x)
+    return runs.withColumn("_cores", F.try_divide(used, F.col("wall_s"))).groupBy(*by).agg(F.expr("percentile(_cores, 0.5)").alias("cores"))
+
+
+def thread_medians(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Median seconds of each thread name over runs."""
+    return runs.select(*by, F.explode("cpu").alias("thread", "s")).groupBy(*by, "thread").agg(F.expr("percentile(s, 0.5)").alias("seconds"))
+
+
+def totals(threads: DataFrame, by: list[str], counters: list[str], series: str) -> DataFrame:
+    """Sums of threads' counters, and of their series element by element (a row for each place)."""
+    t = threads.select(*by, F.posexplode(series).alias("place", "n")).groupBy(*by, "place").agg(F.sum("n").alias("n"))
+    s = threads.groupBy(*by).agg(*[F.sum(c).alias(c) for c in counters])
+    return t.join(s, by)
+
+
+def diagnostics(calls: DataFrame, by: list[str], value: str) -> DataFrame:
+    return calls.groupBy(*by).agg(F.count(value).alias("calls"), F.sum(value).alias("total"), F.avg(value).alias("avg"), F.max(value).alias("max"))
+
+
+def profile(lines: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(tag, name, self, inclusive) of profile lines ``tag n address...``: the first frame is where a
+    sample was, each distinct one where it passed; addresses without a symbol keep their name."""
+    part = F.split("line", " ")
+    s = lines.where(F.size(part) >= 2).select(F.get(part, F.lit(0)).alias("tag"), F.slice(part, F.lit(3), F.get(part, F.lit(1)).cast("int")).alias("frames"))
+    s = s.withColumn("top", F.get("frames", F.lit(0))).select("tag", "top", F.explode(F.array_distinct("frames")).alias("address"))
+    per = s.groupBy("tag", "address").agg(F.count_if(F.col("address") == F.col("top")).alias("self"), F.count(F.lit(1)).alias("inclusive"))
+    return per.join(symbols, "address", "left").groupBy("tag", F.coalesce("symbol", "address").alias("name")).agg(F.sum("self").alias("self"), F.sum("inclusive").alias("inclusive"))
+
+
+def key_values(lines: DataFrame) -> DataFrame:
+    """Lines ``k=v,k=v`` as maps."""
+    return lines.select("*", F.str_to_map("line", F.lit(","), F.lit("=")).alias("fields"))
 
 
 def against(summary: DataFrame, by: list[str], variant: str, baseline: str) -> DataFrame:

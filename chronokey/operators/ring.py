@@ -63,7 +63,25 @@ def moves(keys: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def preferences(ring: DataFrame, n: int) -> DataFrame:
-    """(hash, nodes): the first n distinct nodes clockwise from each point."""
-    p = ring.withColumn("lap", F.explode(F.array(F.lit(0), F.lit(1))))
-    w = Window.orderBy("lap", "hash", "node").rowsBetween(0, Window.unboundedFollowing)  # the ring's points
-    return p.withColumn("nodes", F.slice(F.array_distinct(F.collect_list("node").over(w)), 1, n)).where("lap = 0").select("hash", "node", "nodes")
+    """(hash, nodes): the first n distinct nodes clockwise from each point.
+
+    Of each node the next point at or after every point is known from a running minimum by node; the
+    nodes are then ordered by that: points times nodes rows, no list to the ring's end.
+    """
+    names = ring.select("node").distinct()
+    p = ring.select("hash", "node").withColumn("lap", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("at", F.concat(F.col("lap").cast("string"), "hash", F.lit(" "), "node"))
+    grid = p.crossJoin(F.broadcast(names.withColumnRenamed("node", "other")))  # nodes are a few
+    ahead = Window.partitionBy("other").orderBy("at").rowsBetween(0, Window.unboundedFollowing)
+    grid = grid.withColumn("next", F.min(F.when(F.col("node") == F.col("other"), F.col("at"))).over(ahead)).where("lap = 0 AND next IS NOT NULL")
+    got = grid.groupBy("hash", "node").agg(F.sort_array(F.collect_list(F.struct("next", "other"))).alias("o"))  # a row a node
+    return got.select("hash", "node", F.slice(F.transform("o", lambda x: x["other"]), 1, n).alias("nodes"))
+
+
+def with_node(node_rows: DataFrame, name: str, weight: int = 1) -> DataFrame:
+    """The nodes with one more; one of that name is replaced."""
+    one = node_rows.sparkSession.createDataFrame([(name, max(1, weight))], "node string, weight int")
+    return without_node(node_rows, name).select("node", "weight").unionByName(one)
+
+
+def without_node(node_rows: DataFrame, name: str) -> DataFrame:
+    return node_rows.where(F.col("node") != name)

@@ -119,30 +119,30 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
 
 def _peek(spark: SparkSession, d: str) -> DataFrame:
     """Answer to a probe of each key at the end, which writes nothing."""
-    w = limiter.acquire(_calls(spark, d), CAPACITY, RATE_MILLI, COST).groupBy("key").agg(F.max_by(F.struct("tokens_ut", "last_ms"), "seq").alias("s")).select("key", "s.*")
-    full = F.lit(CAPACITY * limiter.MICRO).cast("long")
-    tokens = F.least(full, F.col("tokens_ut") + (F.lit(AT_END) - F.col("last_ms")) * RATE_MILLI)
-    return w.select("key", (tokens >= COST * limiter.MICRO).alias("allowed"), F.floor(tokens / limiter.MICRO).cast("long").alias("remaining"))
+    calls = _calls(spark, d).withColumn("peek", F.lit(False))
+    probes = calls.groupBy("key").agg((F.max("seq") + 1).alias("seq"), F.lit(AT_END).cast("long").alias("now_ms"), F.lit(True).alias("peek"))
+    asked = limiter.acquire(calls.union(probes), CAPACITY, RATE_MILLI, COST)
+    return asked.join(probes.select("key", "seq"), ["key", "seq"]).select("key", "allowed", "remaining")
 
 
 def _safety(spark: SparkSession, d: str) -> DataFrame:
-    """Calls at which a key was granted more than its capacity and refill allow: none."""
+    """How many calls were granted, and at how many a key had more than its capacity and refill allow (none)."""
     from pyspark.sql import Window
 
     r = limiter.acquire(_calls(spark, d), CAPACITY, RATE_MILLI, COST).join(_calls(spark, d), ["key", "seq"])
     w = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     r = r.withColumn("granted", F.sum(F.col("allowed").cast("long") * COST * limiter.MICRO).over(w)).withColumn("first", F.min("now_ms").over(w))
-    return r.where(F.col("granted") > CAPACITY * limiter.MICRO + (F.col("now_ms") - F.col("first")) * RATE_MILLI).select("key", "seq")
+    over = F.col("granted") > CAPACITY * limiter.MICRO + (F.col("now_ms") - F.col("first")) * RATE_MILLI
+    return r.agg(F.count_if("allowed").alias("granted"), F.count_if(over).alias("over"))
 
 
 def _snapshot_tail(spark: SparkSession, d: str) -> DataFrame:
-    """Keys whose state from a snapshot and the records after it differs from a full replay: none."""
+    """The state from a snapshot and the records after it, which must be that of a full replay."""
     log = kv.effective_log(src.command_log(spark, d))
     cut = log.agg((F.max("offset") / 2).cast("long").alias("cut"))
     snap = kv.replay(log.join(F.broadcast(cut)).where("offset <= cut").select(*log.columns), 0).select(F.lit(0).cast("long").alias("offset"), F.lit("SET").alias("op"), "key", "value", F.col("deadline_ms").alias("at_ms"))
     tail = log.join(F.broadcast(cut)).where("offset > cut").select(*log.columns)
-    a, b = kv.replay(snap.unionByName(tail), AT_END), kv.replay(log, AT_END)
-    return a.exceptAll(b).union(b.exceptAll(a)).select("key")
+    return kv.replay(snap.unionByName(tail), AT_END)
 
 
 def _scalars(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +172,7 @@ Q: dict[str, tuple[Query, str | None]] = {
     "rl_summary": (lambda s, d: FLAGSHIP(s, d).groupBy("key").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("denied")),
                    LIMIT + "SELECT key, count(*) FILTER (WHERE allowed) AS allowed, count(*) FILTER (WHERE NOT allowed) AS denied FROM s WHERE rn > 0 GROUP BY key"),
     "rl_peek": (_peek, LIMIT + f", e AS (SELECT key, least({CAPACITY}000000, tok + ({AT_END} - last) * {RATE_MILLI}) AS t FROM s WHERE rn > 0 QUALIFY rn = max(rn) OVER (PARTITION BY key)) SELECT key, t >= {COST}000000 AS allowed, (t // 1000000)::BIGINT AS remaining FROM e"),
-    "rl_safety": (_safety, "SELECT NULL::VARCHAR AS key, NULL::BIGINT AS seq WHERE false"),
+    "rl_safety": (_safety, LIMIT + "SELECT count(*) FILTER (WHERE allowed) AS granted, 0::BIGINT AS over FROM s WHERE rn > 0"),
     "kv_final_state": (lambda s, d: kv.state(src.command_log(s, d), AT_END), _fold(AT_END) + HELD + f" AND (d IS NULL OR d > {AT_END})"),
     "kv_get_asof": (lambda s, d: kv.state(src.command_log(s, d), AS_OF).select("key", "value"), _fold(AS_OF) + f"SELECT key, val AS value FROM z WHERE held AND (d IS NULL OR d > {AS_OF})"),
     "kv_ttl": (lambda s, d: kv.ttl(kv.physical(src.command_log(s, d).where(f"ts_ms <= {AS_OF}")), src.command_log(s, d), AS_OF),
@@ -183,7 +183,7 @@ Q: dict[str, tuple[Query, str | None]] = {
     "kv_effects": (lambda s, d: kv.annotate(src.command_log(s, d)).groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.count_if("live").alias("live"), F.count_if("effective").alias("effective")), _fold(AT_END) + "SELECT op, count(*) AS n, count(*) FILTER (WHERE live) AS live, count(*) FILTER (WHERE eff) AS effective FROM s WHERE rn > 0 GROUP BY op"),
     "kv_effective_log": (_two(kv.effective_log), _fold(AT_END) + "SELECT seq AS \"offset\", CASE WHEN op = 'PEXPIRE' THEN CASE WHEN arg <= 0 THEN 'DEL' ELSE 'PEXPIREAT' END ELSE op END AS op, key, CASE WHEN op = 'SET' THEN val END AS value, CASE WHEN op = 'SET' OR (op = 'PEXPIRE' AND arg > 0) THEN ts_ms + arg END AS at_ms FROM s WHERE eff"),
     "kv_replay": (lambda s, d: kv.replay(kv.effective_log(src.command_log(s, d)), AT_END), _fold(AT_END) + f"SELECT key, val AS value, d AS deadline_ms FROM z WHERE held AND (d IS NULL OR d > {AT_END})"),
-    "kv_snapshot_tail": (_snapshot_tail, "SELECT NULL::VARCHAR AS key WHERE false"),
+    "kv_snapshot_tail": (_snapshot_tail, _fold(AT_END) + f"SELECT key, val AS value, d AS deadline_ms FROM z WHERE held AND (d IS NULL OR d > {AT_END})"),
     "repl_offset_gate": (lambda s, d: replication.offset_gate(_repl(s, d)).groupBy("verdict").count().withColumnRenamed("count", "n"),
                          _fold(AT_END) + """, l AS (SELECT key AS replid, row_number() OVER (PARTITION BY key ORDER BY seq) AS o FROM s WHERE eff),
 k AS (SELECT * FROM l WHERE NOT (length(replid) % 5 = 0 AND o = 9)), a AS (SELECT replid, o, o * 2 AS arr FROM k UNION ALL SELECT replid, o, o * 2 + 1 FROM k WHERE o % 13 = 0),
@@ -222,7 +222,13 @@ SELECT event_type, q, least(min(CASE WHEN bucket < 32 THEN bucket ELSE ((32 + bu
     "mann_whitney": (lambda s, d: loadstats.mann_whitney(_samples(s, d), "event_type", "ns", "click", "view"), None),
     "hit_ratio": (lambda s, d: lru.simulate(src.access_log(s, d), 600, 1).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("ratio")), "WITH a AS (SELECT count(*) AS n, count(DISTINCT user_id || event_type) AS k FROM events) SELECT NULL::BIGINT AS n, NULL::DOUBLE AS ratio WHERE false"),
 } | fx.QUERIES
-Q["hit_ratio"] = (Q["hit_ratio"][0], None)
+Q["hit_ratio"] = (Q["hit_ratio"][0], """WITH a AS (SELECT event_id AS seq, 'user:{' || user_id || '}:' || event_type AS key FROM events),
+b AS (SELECT *, lag(seq) OVER (PARTITION BY key ORDER BY seq) AS p, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS nx FROM a),
+c AS (SELECT x.seq, x.p, count(y.seq) AS between_ FROM b x LEFT JOIN b y ON y.seq > x.p AND y.seq < x.seq AND (y.nx IS NULL OR y.nx > x.seq) GROUP BY ALL)
+SELECT count(*) AS n, round(avg((p IS NOT NULL AND between_ < 600)::INTEGER::DOUBLE), 6) AS ratio FROM c""")
+from . import more  # noqa: E402  (its queries build on those above)
+
+Q |= more.QUERIES
 
 
 def queries() -> dict[str, Query]:

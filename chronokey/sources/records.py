@@ -62,7 +62,7 @@ def commands(data: bytes) -> Iterator[tuple[list[bytes] | None, str]]:
             return
         text, pos = head
         if not text.startswith(b"*"):
-            yield text.replace(b"\t", b" ").split(), "ok"
+            yield [x for x in text.replace(b"\t", b" ").split(b" ") if x], "ok"
             at = pos
             continue
         n = number(text[1:])
@@ -120,7 +120,7 @@ def parse_commands(df: DataFrame, column: str = "data") -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            rows = [(row, i, args, status) for row, data in zip(p["row"], p[column], strict=True) for i, (args, status) in enumerate(commands(bytes(data)))]
+            rows = [(row, i, args, status) for row, data in zip(p["row"], p[column], strict=True) for i, (args, status) in enumerate(commands(bytes(data or b"")))]
             yield pd.DataFrame(rows, columns=["row", "ordinal", "args", "status"])
 
     return df.select("row", column).mapInPandas(run, "row long, ordinal int, args array<binary>, status string")
