@@ -106,7 +106,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_records(df: DataFrame, path: str, order: str) -> None:
-    """Write (payload) as one framed file a partition, through the text sink's commit."""
+    """Write (payload) as one framed value a partition, in Parquet: ``read_records`` can't read these
+    files as they are, only their content."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         body = [frame(bytes(x)) for p in parts for x in p["payload"]]
