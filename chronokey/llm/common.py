@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast up to so many rows (of a few longs each), and joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
+#: Spark's own setting that deletes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,17 +36,23 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, which cuts its lineage.
 
     The files outlive a lost executor, and every later reader gets the same rows. ``release``
-    deletes them.
+    deletes them; the shuffles behind them go as soon as they are written.
     """
     path = f"{shared_dir(df.sparkSession)}/chronokey/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out
 
 
 def release(*kept: DataFrame | None) -> None:
-    """Delete kept tables whose last reader has been written, and let go of shuffles behind them."""
+    """Delete kept tables whose last reader has been written."""
     for df in kept:
         path = getattr(df, "kept_at", None)
         if path:
