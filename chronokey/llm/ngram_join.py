@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -16,6 +17,8 @@ from .words import mix as _mix
 
 #: Bits of the sketch that screens pairs of one bucket, and rows of a bucket compared at once.
 SKETCH, CHUNK = 1024, 2048
+#: Pairs are verified in so many slices at most, one for each so many shingles of their ends.
+SLICES, SLICE = 6, 2_000_000
 
 
 #: Odd multipliers of the words of a shingle, by place.
@@ -207,15 +210,24 @@ def _screened(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 def _verified(pairs: DataFrame, docs: DataFrame, first: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (u, v) of fingerprints whose sets are as near as asked, a kept table; ``pairs`` is
-    one too. Shingles are made again from the texts, of the ends of these pairs only."""
+    one too. Shingles are made again from the texts, of the ends of these pairs only, and travel
+    slice by slice, so that the shuffle files of one slice are gone before the next."""
     ends = keep(pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct(), "ends")
     texts, ids = _texts_of(docs, first, ends)
     sets = keep(_sets(texts, n).join(small_side(ends), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
-    a = sets.select(F.col("fp").alias("u"), F.col("n").alias("nu"), F.col("shingles").alias("su"))
-    b = sets.select(F.col("fp").alias("v"), F.col("n").alias("nv"), F.col("shingles").alias("sv"))
-    both = pairs.join(a, "u").join(b, "v").where(f"least(nu, nv) * {den} >= greatest(nu, nv) * {num}")
-    out = keep(both.withColumn("i", F.size(F.array_intersect("su", "sv"))).where(f"i * {den} >= (nu + nv - i) * {num}").select("u", "v"), "links")
-    release(ends, ids, sets)
+    release(ends, ids)
+    slices = min(SLICES, 1 + (sets.agg(F.sum("n")).first()[0] or 0) // SLICE)
+    found = []
+    for i in range(slices):
+        some = pairs.where(F.pmod(F.xxhash64("v"), F.lit(slices)) == i)
+        of = lambda side: small_side(some.select(F.col(side).alias("fp")).distinct())  # noqa: B023, E731
+        a = sets.join(of("u"), "fp", "left_semi").select(F.col("fp").alias("u"), F.col("n").alias("nu"), F.col("shingles").alias("su"))
+        b = sets.join(of("v"), "fp", "left_semi").select(F.col("fp").alias("v"), F.col("n").alias("nv"), F.col("shingles").alias("sv"))
+        both = some.join(b, "v").join(a, "u").withColumn("i", F.size(F.array_intersect("su", "sv")))
+        found.append(keep(both.where(f"i * {den} >= (nu + nv - i) * {num}").select("u", "v"), "links"))
+    release(sets)
+    out = found[0] if slices == 1 else keep(functools.reduce(DataFrame.union, found), "links")
+    release(*found[: 0 if slices == 1 else slices])
     return out
 
 
