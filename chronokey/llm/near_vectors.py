@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, keep, small_side, table
-from .vectors import classes, matrix
+from .vectors import VALID, classes, matrix
 
 #: Rows that fit the clusters, rows aimed at in a shard, most clusters.
 SAMPLE, SHARD, CLUSTERS = 20_000, 1500, 4096
@@ -171,8 +171,10 @@ def near_duplicates(rows: DataFrame, near: float = 0.9) -> DataFrame:
     where the graphs miss one of those, all shards are compared exactly instead.
 
     Defined results: invalid vectors (null, zero, null or non-finite components, an odd length)
-    have no links and are their own component; so is a null id, which is kept null. Repeated rows
-    with equal id and vector count as copies of each other.
+    have no links and are their own component; so is a null id, which is kept null. Every row
+    counts by itself: rows with equal vectors link with each other, whether their ids are equal or
+    not, and rows with equal id and different vectors have each their own links and component (both
+    are kept if both components start with that id). Other columns are ignored.
     """
     members, own, dim = classes(rows)
     n = own.count()
@@ -244,16 +246,14 @@ def near_duplicates(rows: DataFrame, near: float = 0.9) -> DataFrame:
         if recall == 1:
             break
     comps = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    got = links.join(comps, links.rep == comps.node, "left").select(F.col("rep").alias("_rep"), "n_links", F.coalesce("component", "rep").alias("component_id"))
-    named = members.join(got, F.col("rep") == F.col("_rep")).select(F.col("vec_id").alias("_id"), "n_links", "component_id").dropDuplicates(["_id"])
-    out = rows.select("vec_id", "embedding").join(keep(named, "named"), (F.col("vec_id") == F.col("_id")) & F.coalesce(F.expr(VALID_ROW.format(dim=dim)), F.lit(False)), "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").cast("long").alias("component_id"))
+    got = keep(links.join(comps, links.rep == comps.node, "left").select("rep", "n_links", F.coalesce("component", "rep").alias("component")), "of")
+    lows = own.select("rep", "low").join(got.select("rep", "component"), "rep").groupBy("component").agg(F.min("low").alias("component_id"))
+    named = members.join(got.join(lows, "component"), "rep").select("vec_id", "n_links", "component_id")
+    invalid = rows.where(~F.coalesce(F.expr(f"vec_id IS NOT NULL AND size(embedding) = {dim} AND {VALID}"), F.lit(False)))
+    out = named.union(invalid.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), (F.col("vec_id") + F.lit(0)).cast("long").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).withColumn("audit_recall", F.lit(recall))
 
 
-VALID_ROW = "size(embedding) = {dim} AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) AND exists(embedding, x -> x <> 0)"
-
-
 def _audit(own: DataFrame, links: DataFrame, dim: int, near: float) -> float:
     """Links found / links there, of a bounded sample of classes compared with all classes."""
     some = own.select("rep", "v", "copies").orderBy(F.xxhash64(F.col("rep"), F.lit(1))).limit(AUDIT).toArrow()

@@ -42,7 +42,7 @@ def _lcp(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest found by inner product.
 
-    ``rows`` and ``queries`` are (vec_id, embedding); a query's own id is no candidate. Vectors are
+    ``rows`` and ``queries`` are (vec_id, embedding); a query's own row is no candidate. Vectors are
     set on a sphere (by a coordinate that fills their norm up to the largest), so that angles order
     as inner products do. Every class of equal vectors has a hash string in each of ``TREES``
     sorted arrays. A query starts at its longest prefix matches and ascends all trees together, one
@@ -52,7 +52,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     query that finds fewer than k is compared with all rows.
 
     Defined results: invalid vectors (null, zero, null or non-finite components, an odd length) take
-    no part; equal scores go by smaller vec_id; equal vectors are all candidates.
+    no part; equal scores go by smaller vec_id; equal vectors are all candidates. Rows equal in id and
+    vector count once, as query and as candidate. An id with several vectors is a candidate by each of
+    them, and each that is asked gets ranks of its own; a query's own is its id with its vector. Other
+    columns are ignored.
     """
     members, own, dim = classes(rows)
     empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -82,7 +85,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     shape = "rep long, v array<double>, h array<long>"
     index = keep(own.select("rep", "v").mapInArrow(code(lifted), shape), "index")
-    asked = keep(queries.select(F.col("vec_id").alias("query_id")).join(members, F.col("query_id") == F.col("vec_id")).select("query_id", "rep"), "asked")
+    same = [F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("_v")]
+    wanted = own.join(queries.select(*same), F.col("v") == F.col("_v")).select("query_id", "rep") if repeated(members) else None
+    asked = queries.select(same[0]).distinct().join(members, F.col("query_id") == F.col("vec_id")).select("query_id", "rep")
+    asked = keep((asked if wanted is None else wanted).distinct(), "asked")
     q = own.select("rep", "v").join(small_side(asked.select("rep").distinct()), "rep", "left_semi")
     q = keep(q.mapInArrow(code(flat), shape), "queries")
 
@@ -205,13 +211,18 @@ def _depth(index: DataFrame, q: DataFrame, dim: int, n: int, k: int) -> tuple[in
     return depth, [int(x) for x in names]
 
 
+def repeated(members: DataFrame) -> bool:
+    """Whether an id has several vectors."""
+    return bool(members.distinct().groupBy("vec_id").count().where("count > 1").limit(1).count())
+
+
 def _expand(near: DataFrame, members: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """Classes as their vectors, of which k + 1 a class are enough; then the k nearest."""
     slot = Window.partitionBy("rep", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
-    first = members.withColumn("_r", F.row_number().over(slot)).where(f"_r <= {k + 1}").drop("_r")
+    first = members.distinct().withColumn("_r", F.row_number().over(slot)).where(f"_r <= {k + 1}").drop("_r")
     first = first.withColumn("_r", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).where(f"_r <= {k + 1}").drop("_r")
-    rows = near.join(asked.select("query_id", F.col("rep").alias("query")), "query").join(first, "rep").where("vec_id <> query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rows = near.join(asked.select("query_id", F.col("rep").alias("query")), "query").join(first, "rep").where("rep <> query OR vec_id <> query_id")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

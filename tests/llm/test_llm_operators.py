@@ -527,3 +527,40 @@ def test_pipeline(spark):
     one = corpus_pipeline.distinct(spark, docs, DIR)
     assert one.columns == docs.columns and one.join(ngram_join.link(docs).where("doc_id = component_id").select("doc_id"), "doc_id").count() == one.count()
     assert corpus_pipeline.good(spark, docs, DIR).columns == docs.columns
+
+
+def repeats(spark):
+    """Ids that repeat with other vectors, rows that repeat whole, and a column more; (id, vector) of each row."""
+    r = np.random.default_rng(8)
+    x = np.float64(np.float32(r.normal(size=(60, 8))))
+    x[30:45] = np.float64(np.float32(x[:15] + 0.05 * r.normal(size=(15, 8))))
+    ids = [*range(40), *[0] * 6, *[20, 40] * 7]
+    rows = [(i, v.tolist()) for i, v in zip(ids, x, strict=True)]
+    rows += [rows[0], rows[0], rows[3], (100, rows[3][1]), (2, rows[5][1])]
+    return spark.createDataFrame([(i, v, i) for i, v in rows], "vec_id long, embedding array<double>, rep long"), rows
+
+
+def test_near_vectors_of_repeated_ids(spark):
+    df, rows = repeats(spark)
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    of = components(range(len(rows)), [(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)])
+    low = {c: min(rows[i][0] for i in range(len(rows)) if of[i] == c) for c in set(of.values())}
+    want = sorted((rows[i][0], int(near[i].sum()), low[of[i]], rows[i][0] == low[of[i]]) for i in range(len(rows)))
+    assert sorted(tuple(r)[:4] for r in near_vectors.near_duplicates(df).collect()) == want
+
+
+def test_prefix_forest_of_repeated_ids(spark):
+    df, rows = repeats(spark)
+    got = {}
+    for r in prefix_forest.search(df, df.where("vec_id % 20 = 0"), 100).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(r["score"], 9)))
+    each = {(i, tuple(v)) for i, v in rows}
+    want = {}
+    for i, v in each:
+        if i % 20 == 0:
+            found = sorted((-round(float(np.dot(v, w)), 9), j) for j, w in each if (j, w) != (i, v))
+            want.setdefault(i, []).extend((n + 1, j, -s + 0.0) for n, (s, j) in enumerate(found))
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
