@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .common import keep, small_side, table
 from .vectors import classes, matrix
 
-#: Trees, bits of a hash string, rows of a tree that meet in one task, queries scored at once.
-TREES, BITS, GROUP, BLOCK = 32, 60, 6000, 256
+#: Trees, bits of a hash string, rows of a block of the index, queries that meet it in one task, queries scored at once.
+TREES, BITS, ROWS, ASKED, BLOCK = 32, 60, 20_000, 4000, 128
+#: Share of a block that, as candidates, is scored by one product for several queries; less is scored query by query.
+DENSE = 0.1
 #: Queries that set how far the trees are ascended, and the recall asked of them.
 PROBES, RECALL = 96, 0.96
 
@@ -39,17 +41,50 @@ def _lcp(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return BITS - np.minimum(high, BITS)
 
 
+def bounds(codes: np.ndarray, want: np.ndarray, d) -> tuple[np.ndarray, np.ndarray]:
+    """Where the strings that share the first ``d`` bits of ``want`` begin and end in the sorted ``codes``."""
+    d = np.asarray(d, np.int64)
+    low = (want >> (BITS - d)) << (BITS - d)
+    return np.searchsorted(codes, low), np.searchsorted(codes, low + (np.int64(1) << (BITS - d)))
+
+
+def tallies(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """How many strings of ``h``, in all trees, share 0, 1, ..., BITS bits with each query of ``w``."""
+    c = np.zeros((len(w), BITS + 1), np.int64)
+    for t in range(TREES):
+        codes = np.sort(h[:, t])
+        for s in range(0, len(w), 1024):
+            lo, hi = bounds(codes, w[s : s + 1024, t, None], np.arange(BITS + 1)[None])
+            c[s : s + 1024] += hi - lo
+    return c
+
+
+def candidates(order: np.ndarray, codes: np.ndarray, w: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Boolean matrix (queries, rows): the union over the trees of each query's range at its depth.
+    ``codes`` are the trees' sorted strings and ``order`` the rows they belong to, a tree a column."""
+    mask = np.zeros((len(w), len(order)), bool)
+    for t in range(TREES):
+        lo, hi = bounds(codes[:, t], w[:, t], d)
+        for i in np.flatnonzero(hi > lo):
+            mask[i, order[lo[i] : hi[i], t]] = True
+    return mask
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest found by inner product.
 
     ``rows`` and ``queries`` are (vec_id, embedding); a query's own row is no candidate. Vectors are
     set on a sphere (by a coordinate that fills their norm up to the largest), so that angles order
     as inner products do. Every class of equal vectors has a hash string in each of ``TREES``
-    sorted arrays. A query starts at its longest prefix matches and ascends all trees together, one
-    bit a step, until the arrays hold as many matches as asked; those are scored. How many is set
-    by ``PROBES`` queries compared with all rows, to reach ``RECALL``. A tree's array is cut by
-    prefix, and where a prefix has more rows than ``GROUP``, in pieces that each see the query. A
-    query that finds fewer than k is compared with all rows.
+    trees. The index is cut into blocks of ``ROWS`` by the first tree's prefix (and by hash where one
+    prefix has more), and each block holds all trees' sorted arrays of its own rows. A query starts
+    at its longest prefix matches and ascends all trees of all blocks together, one bit a step,
+    until the arrays hold as many matches as asked; how many is set by ``PROBES`` queries compared with
+    all rows, to reach ``RECALL``. Then it goes to the blocks that hold a match, where its ranges are
+    united, and every vector in them is scored once: never more products than rows, and few where
+    vectors lie in groups. Vectors without structure share so few bits with their nearest that
+    the ranges hold most rows. A query that finds fewer than k is compared with all rows. Strings of
+    the stated queries meet all blocks, ``ASKED`` queries and one block a task.
 
     Defined results: invalid vectors (null, zero, null or non-finite components, an odd length) take
     no part; equal scores go by smaller vec_id; equal vectors are all candidates. Rows equal in id and
@@ -93,58 +128,58 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     q = keep(q.mapInArrow(code(flat), shape), "queries")
 
     depth, probes = _depth(index, q, dim, n, k)
-    cut = max(0, depth - 1)
-    pre = F.shiftright(F.col("code"), BITS - cut) if cut else F.lit(0).cast("long")
-    trees = lambda df: df.select("*", F.posexplode("h").alias("tree", "code")).drop("h").withColumn("prefix", pre)
-    sizes = trees(index.select("h")).groupBy("tree", "prefix").count().select("tree", "prefix", F.ceil(F.col("count") / GROUP).cast("int").alias("pieces"))
-    sizes = small_side(keep(sizes, "sizes"))
-    piece = F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int")
-    r_ = lambda df: trees(df).join(sizes, ["tree", "prefix"]).withColumn("piece", piece)
-    q_ = lambda df: trees(df).join(sizes, ["tree", "prefix"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    by = ["tree", "prefix", "piece"]
-
-    def bounds(codes: np.ndarray, want: np.ndarray, d) -> tuple[np.ndarray, np.ndarray]:
-        d = np.asarray(d, np.int64)
-        low = (want >> (BITS - d)) << (BITS - d)
-        return np.searchsorted(codes, low), np.searchsorted(codes, low + (np.int64(1) << (BITS - d)))
+    head = max(0, -(-n // ROWS) - 1).bit_length()
+    prefix = F.shiftright(F.element_at("h", 1), BITS - head) if head else F.lit(0).cast("long")
+    sizes = keep(index.groupBy(prefix.alias("prefix")).agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("pieces")), "sizes")
+    before = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)  # a row for each of some n / ROWS prefixes
+    first = keep(sizes.withColumn("first", F.coalesce(F.sum("pieces").over(before), F.lit(0))), "first")
+    blocks = first.agg(F.sum("pieces")).first()[0]
+    chunks = max(1, -(-q.count() // ASKED))
+    index = index.withColumn("prefix", prefix).join(small_side(first), "prefix")
+    index = index.withColumn("block", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("pieces"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    q = q.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.lit(chunks)).cast("int"))
+    by = ["block", "chunk"]
 
     def tally(left, right):
-        codes, want = np.sort(left.column("code").to_numpy()), right.column("code").to_numpy()
-        c = np.stack([(lambda b: b[1] - b[0])(bounds(codes, want, d)) for d in range(cut, BITS + 1)], 1) if len(codes) else np.zeros((len(want), BITS + 1 - cut), np.int64)
-        return pa.table({"rep": right.column("rep"), "c": pa.FixedSizeListArray.from_arrays(pa.array(c.ravel().astype(np.int64)), c.shape[1]).cast(pa.list_(pa.int64()))})
-
-    slim_r, slim_q = r_(index.select("rep", "h")).select("code", *by), q_(q.select("rep", "h")).select("rep", "code", *by)
-    seen = slim_r.groupBy(*by).cogroup(slim_q.groupBy(*by)).applyInArrow(tally, "rep long, c array<long>")
-    seen = keep(seen.groupBy("rep").agg(F.array(*[F.sum(F.element_at("c", i + 1)) for i in range(BITS + 1 - cut)]).alias("c")), "tally")
-    held = seen.where(F.col("rep").isin(probes)).agg(F.avg(F.element_at("c", depth - cut + 1))).first()[0] or 0.0
+        c = tallies(matrix(left.column("h"), TREES), matrix(right.column("h"), TREES)) if right.num_rows else np.zeros((0, BITS + 1), np.int64)
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(c.ravel()), BITS + 1).cast(pa.list_(pa.int64()))
+        return pa.table({"rep": right.column("rep"), "block": right.column("block"), "c": lists})
+
+    every = q.select("rep", "h", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    seen = index.select("h", *by).groupBy(*by).cogroup(every.groupBy(*by)).applyInArrow(tally, "rep long, block long, c array<long>")
+    seen = keep(seen, "tally")
+    total = keep(seen.groupBy("rep").agg(F.array(*[F.sum(F.element_at("c", i + 1)) for i in range(BITS + 1)]).alias("c")), "total")
+    held = total.where(F.col("rep").isin(probes)).agg(F.avg(F.element_at("c", depth + 1))).first()[0] or 0.0
     level = F.size(F.filter("c", lambda x: x >= F.lit(held)))  # counts fall with depth
-    stop = keep(seen.select("rep", F.greatest(F.lit(cut), level + cut - 1).cast("long").alias("depth")), "depths")
+    stop = keep(total.select("rep", F.greatest(F.lit(0), level - 1).cast("int").alias("depth")), "depths")
 
     def best(left, right):
-        codes = left.column("code").to_numpy()
-        order = np.argsort(codes, kind="stable")
-        codes, rep, v = codes[order], left.column("rep").to_numpy()[order], matrix(left.column("v"), dim)[order]
-        want, d, w, name = right.column("code").to_numpy(), right.column("depth").to_numpy(), matrix(right.column("v"), dim), right.column("rep").to_numpy()
-        lo, hi = bounds(codes, want, d)
-        out = [[], [], []]
-        for s in range(0, len(want), BLOCK):
-            score = w[s : s + BLOCK] @ v.T
-            at = np.arange(len(codes))
-            score[(at < lo[s : s + BLOCK, None]) | (at >= hi[s : s + BLOCK, None])] = -np.inf
-            for i, a in zip(range(s, s + len(score)), _top(score, rep, k + 1), strict=True):
-                out[0].append(np.full(len(a), name[i]))
-                out[1].append(rep[a])
-                out[2].append(score[i - s][a])
-        c = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, float), strict=True)]
+        cols: list[list] = [[np.zeros(0, t)] for t in (np.int64, np.int64, float)]
+        if left.num_rows and right.num_rows:
+            h, rep, v = matrix(left.column("h"), TREES), left.column("rep").to_numpy(), matrix(left.column("v"), dim)
+            order = np.argsort(h, axis=0, kind="stable")
+            codes = np.take_along_axis(h, order, 0)
+            ask, d, w, name = matrix(right.column("h"), TREES), right.column("depth").to_numpy(), matrix(right.column("v"), dim), right.column("rep").to_numpy()
+            for s in range(0, len(w), BLOCK):
+                mask = candidates(order, codes, ask[s : s + BLOCK], d[s : s + BLOCK])
+                score = np.where(mask, w[s : s + BLOCK] @ v.T, -np.inf) if mask.mean() > DENSE else None
+                for i, own_ in enumerate(mask, s):
+                    at = np.flatnonzero(own_)
+                    near = score[i - s, at] if score is not None else v[at] @ w[i]
+                    at = at[_top(near[None], rep[at], k + 1)[0]]
+                    cols[0].append(np.full(len(at), name[i]))
+                    cols[1].append(rep[at])
+                    cols[2].append(np.einsum("nd,d->n", v[at], w[i]))
+        c = [np.concatenate(x) for x in cols]
         return pa.table({"query": pa.array(c[0], pa.int64()), "rep": pa.array(c[1], pa.int64()), "score": pa.array(c[2], pa.float64())})
 
-    full_q = q_(q.join(small_side(stop), "rep")).select("rep", "v", "code", "depth", *by)
-    found = r_(index).select("rep", "v", "code", *by).groupBy(*by).cogroup(full_q.groupBy(*by)).applyInArrow(best, "query long, rep long, score double")
-    found = keep(found.groupBy("query", "rep").agg(F.max("score").alias("score")), "found")
+    todo = seen.join(small_side(stop), "rep").where(F.element_at("c", F.col("depth") + 1) > 0).select("rep", "block", "depth")
+    found = index.select("rep", "v", "h", *by).groupBy(*by).cogroup(q.join(todo, "rep").groupBy(*by)).applyInArrow(best, "query long, rep long, score double")
+    found = keep(found, "found")
     few = found.groupBy("query").agg(F.count(F.lit(1)).alias("n")).where(f"n <= {min(k, n - 1)}").select(F.col("query").alias("rep"))
     some = keep(few.union(q.select("rep").join(found.select(F.col("query").alias("rep")).distinct(), "rep", "left_anti")), "few")
     if n > 1 and some.limit(1).count():
-        found = found.union(_against_all(index, q.join(some, "rep", "left_semi"), dim, k + 1)).groupBy("query", "rep").agg(F.max("score").alias("score"))
+        found = found.union(_against_all(index.where("chunk = 0"), q.join(some, "rep", "left_semi"), dim, k + 1)).groupBy("query", "rep").agg(F.max("score").alias("score"))
     near = found.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(f"_r <= {k + 1}").drop("_r")
     return _expand(near, members, asked, k)
 

@@ -448,6 +448,32 @@ def test_prefix_forest(spark):
     assert prefix_forest.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_prefix_forest_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(prefix_forest, "ROWS", 40)
+    monkeypatch.setattr(prefix_forest, "ASKED", 4)
+    monkeypatch.setattr(prefix_forest, "BLOCK", 2)
+    test_prefix_forest(spark)
+    test_prefix_forest_of_repeated_ids(spark)
+
+
+def test_prefix_forest_ranges():
+    """Tallies and candidates against the common prefixes of all pairs; grouped vectors have few candidates."""
+    r = np.random.default_rng(4)
+    x = np.repeat(r.normal(size=(40, 16)), 25, 0) + 0.05 * r.normal(size=(1000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    h = prefix_forest.strings(x, prefix_forest.planes(16))
+    w = h[::50]
+    common = np.array([[[60 - (int(a) ^ int(b)).bit_length() for a, b in zip(i, j, strict=True)] for j in h] for i in w])
+    counts = prefix_forest.tallies(h, w)
+    assert all((counts[:, d] == (common >= d).sum((1, 2))).all() for d in range(61))
+    order = np.argsort(h, axis=0, kind="stable")
+    depth = np.array([8, 60] * 10)
+    mask = prefix_forest.candidates(order, np.take_along_axis(h, order, 0), w, depth)
+    assert (mask == (common.max(2) >= depth[:, None])).all()
+    nearest = np.argsort(-(x[::50] @ x.T), axis=1)[:, :20]
+    assert np.take_along_axis(mask[::2], nearest[::2], 1).mean() >= 0.99 and mask[::2].mean() < 0.2
+
+
 @pytest.fixture(scope="module")
 def mess(spark):
     """Repeated ids, nulls, near copies, a very long text and many lengths."""
