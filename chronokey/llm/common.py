@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Spark's own setting that deletes the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own setting of the rows that go to Python at once, and a value that keeps long texts from filling memory.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,12 +42,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/chronokey/{uuid.uuid4().hex}/{name}"
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
+    before = {k: conf.get(k, v) for k, v in ((CLEANUP, "false"), (BATCH, "10000"))}
     conf.set(CLEANUP, "true")
+    conf.set(BATCH, BATCH_ROWS)
     try:
         df.write.parquet(path)
     finally:
-        conf.set(CLEANUP, before)
+        for k, v in before.items():
+            conf.set(k, v)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out

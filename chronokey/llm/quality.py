@@ -197,7 +197,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     text = docs.columns.index("text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p in parts:
+        for p in (whole.slice(a, 512) for whole in parts for a in range(0, whole.num_rows, 512)):
             if p.num_rows:
                 yield p.filter(pa.array(model.score(np.array([statistics(t) for t in p.column(text).to_pylist()])) >= threshold))
 
