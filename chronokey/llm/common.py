@@ -15,7 +15,7 @@ BROADCAST_ROWS = 200_000
 #: Spark's own setting that deletes the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Spark's own setting of the rows that go to Python at once, and a value that keeps long texts from filling memory.
-BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2048"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
