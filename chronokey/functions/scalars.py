@@ -42,6 +42,16 @@ def parse_int(text: Column) -> Column:
     return F.when(text.rlike(r"^-?[0-9]+\z"), text.try_cast("long"))
 
 
+def reply_line(sign: str, value: Column) -> Column:
+    """A reply of one line: ``+`` a status, ``-`` an error, ``:`` an integer; line ends in it become blanks."""
+    return F.concat(F.lit(sign), F.regexp_replace(value.cast("string"), "[\r\n]", " "), F.lit("\r\n"))
+
+
+def reply_array(items: Column) -> Column:
+    """An array of replies that are encoded already."""
+    return F.concat(F.lit("*"), F.size(items).cast("string"), F.lit("\r\n"), F.array_join(items, ""))
+
+
 def key_name(i: Column) -> Column:
     return F.format_string("key:%010d", i)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import cluster, commands, kv, loadstats, ring
 from ..sources import events as src
+from ..sources import records
 from .catalog import AS_OF, AT_END, SAMPLES, _fold, _keys, _ring, _ring_sql, _samples, murmur_sql
 
 #: Command vectors by event_id % 24, in Spark and in SQL alike: e is the id as text.
@@ -23,6 +24,24 @@ def _argv(s: SparkSession, d: str) -> DataFrame:
     return src.events(s, d).select(F.col("event_id").alias("seq"), F.expr(case).alias("args"))
 
 
+def _replies(s: SparkSession, d: str) -> DataFrame:
+    """A status, an error, a number and an array of a string, a null and a nested array, encoded and decoded."""
+    e = F.col("event_id")
+    text = F.col("event_type")
+    nested = scalars.reply_array(F.array(scalars.resp_bulk(text), scalars.resp_bulk(F.lit(None).cast("string")), scalars.reply_array(F.array(scalars.reply_line(":", F.col("user_id"))))))
+    data = F.concat(scalars.reply_line("+", F.lit("OK")), scalars.reply_line("-", F.concat(F.lit("ERR "), text)), scalars.reply_line(":", -e), nested)
+    got = records.parse_replies(src.events(s, d).select(e.alias("row"), data.cast("binary").alias("data")))
+    return got.select("row", "ordinal", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), "kind", F.col("value").cast("string").alias("value"), "status")
+
+
+def _packed(s: SparkSession, d: str) -> DataFrame:
+    """Commands written to record files of some records each, and read again."""
+    payload = F.concat(F.lit("SET user:"), F.col("user_id").cast("string"), F.lit(" "), F.col("event_type"))
+    files = records.pack_records(src.events(s, d).select("event_id", payload.cast("binary").alias("payload")), "event_id", 4096)
+    got = records.scan_records(files).where("status <> 'end'")
+    return got.groupBy(F.col("payload").cast("string").alias("payload"), "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _validate(s: SparkSession, d: str) -> DataFrame:
     a = F.col("args")
     op = F.upper(F.get(a, F.lit(0)))
@@ -223,5 +242,8 @@ QUERIES = {
     "profile_symbols": (_profile, """WITH e AS (SELECT event_type AS tag, 256 + user_id % 7 AS a, 256 + (props->>'$.k')::BIGINT % 5 AS b FROM events), f AS (SELECT tag, a AS x, 1 AS top FROM e UNION ALL SELECT tag, b, 0 FROM e WHERE a <> b)
 SELECT tag, CASE x WHEN 256 THEN 'main' WHEN 257 THEN 'parse' WHEN 258 THEN 'parse' WHEN 260 THEN 'hash' ELSE lower(to_hex(x)) END AS name, sum(top)::BIGINT AS self, count(*) AS inclusive FROM f GROUP BY ALL"""),
     "key_value_lines": (_lines, "SELECT event_type AS type, (user_id % 6)::INTEGER AS threads, count(*) AS n FROM events GROUP BY ALL"),
+    "reply_round_trip": (_replies, """SELECT event_id AS row, o::BIGINT AS ordinal, path, kind, CASE k WHEN 0 THEN 'OK' WHEN 1 THEN 'ERR ' || event_type WHEN 2 THEN (-event_id)::VARCHAR WHEN 3 THEN '3' WHEN 4 THEN event_type WHEN 6 THEN '1' WHEN 7 THEN user_id::VARCHAR END AS value, 'ok' AS status
+FROM events, (VALUES (0, 0, '', 'simple'), (1, 1, '', 'error'), (2, 2, '', 'int'), (3, 3, '', 'array'), (4, 3, '0', 'bulk'), (5, 3, '1', 'null'), (6, 3, '2', 'array'), (7, 3, '2.0', 'int')) t(k, o, path, kind)"""),
+    "record_segments": (_packed, "SELECT 'SET user:' || user_id || ' ' || event_type AS payload, 'ok' AS status, count(*) AS n FROM events GROUP BY ALL"),
     "more_scalars": (_more_scalars, f"WITH {SAMPLES} SELECT ns, 'key:' || lpad(ns::VARCHAR, greatest(10, length(ns::VARCHAR))::INTEGER, '0') AS key, trunc((ns % 100000) * 1.01::DOUBLE)::BIGINT + 50 AS granter_ms, trunc((ns % 100000) * 0.99::DOUBLE)::BIGINT AS holder_ms, CASE WHEN ns % 2 = 0 THEN CASE WHEN ns <= 1000000000 THEN ns * 1000 END WHEN ns <= 1000000000000 THEN ns END AS ttl_ms, '*2' || chr(13) || chr(10) || ':' || ns || chr(13) || chr(10) || '+' || event_type || chr(13) || chr(10) AS reply FROM samples"),
 }

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,28 +95,111 @@ def commands(data: bytes) -> Iterator[tuple[list[bytes] | None, str]]:
         at = pos
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(segment, ordinal, payload, status) of record files; one file is one task's work, as only
-    its start tells where records lie."""
+def replies(data: bytes) -> Iterator[tuple[int, list[int], str | None, bytes | None, str]]:
+    """(ordinal, path, kind, value, status) of the replies in ``data``, nodes of arrays after the array
+    itself: ``path`` is the places within the arrays around it, an array's value its length. Stops at
+    an incomplete or malformed reply; nesting takes no recursion."""
+    kinds = {b"+": "simple", b"-": "error", b":": "int", b"$": "bulk", b"*": "array"}
+    at, ordinal = 0, 0
+    open_: list[list[int]] = []  # of each array around: place, length
+    while at < len(data):
+        path = [i for i, _ in open_]
+        end = data.find(b"\r\n", at)
+        if end < 0:
+            yield ordinal, path, None, None, "incomplete"
+            return
+        kind, value = kinds.get(data[at : at + 1]), data[at + 1 : end]
+        number = int(value) if re.fullmatch(rb"[+-]?\d{1,19}", value) else None
+        most = {"bulk": MOST_BULK, "array": MOST_ARGS}.get(kind or "")
+        if kind is None or (kind not in ("simple", "error") and number is None) or (most is not None and not -1 <= number <= most):
+            yield ordinal, path, None, None, "error"
+            return
+        at = end + 2
+        if kind == "bulk" and number >= 0:
+            if len(data) < at + number + 2:
+                yield ordinal, path, None, None, "incomplete"
+                return
+            if data[at + number : at + number + 2] != b"\r\n":
+                yield ordinal, path, None, None, "error"
+                return
+            value, at = data[at : at + number], at + number + 2
+        yield ordinal, path, "null" if number == -1 and most else kind, None if number == -1 and most else value, "ok"
+        if kind == "array" and number > 0:
+            open_.append([0, number])
+            continue
+        while open_:
+            open_[-1][0] += 1
+            if open_[-1][0] < open_[-1][1]:
+                break
+            open_.pop()
+        if not open_:
+            ordinal += 1
+    if open_:
+        yield ordinal, [i for i, _ in open_], None, None, "incomplete"
+
+
+def scan_records(files: DataFrame) -> DataFrame:
+    """(segment, ordinal, payload, status) of record files (segment, content); a null content is an
+    empty file. One file is one task's work, as only its start tells where records lie."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for name, data in zip(p["path"], p["content"], strict=True):
-                rows = [(name, *r) for r in records(bytes(data))]
-                yield pd.DataFrame(rows, columns=["segment", "ordinal", "payload", "status"])
+            for name, data in zip(p["segment"], p["content"], strict=True):
+                found = records(bytes(data or b""))
+                while rows := [(name, *r) for r in itertools.islice(found, 4096)]:
+                    yield pd.DataFrame(rows, columns=["segment", "ordinal", "payload", "status"])
+
+    return files.select("segment", "content").mapInPandas(run, "segment string, ordinal long, payload binary, status string")
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "segment string, ordinal long, payload binary, status string")
 
+def read_records(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """``scan_records`` of the files in a folder: bare ones, or, ``packed``, what ``write_records`` wrote."""
+    files = spark.read.parquet(path) if packed else spark.read.format("binaryFile").load(path).withColumnRenamed("path", "segment")
+    return scan_records(files)
 
-def write_records(df: DataFrame, path: str, order: str) -> None:
-    """Write (payload) as one framed value a partition, in Parquet: ``read_records`` can't read these
-    files as they are, only their content."""
+
+def pack_records(df: DataFrame, order: str, most: int = 16 << 20) -> DataFrame:
+    """(segment, content): the payloads of ``df`` (binary) as record files, in order within each
+    partition; a file is closed once it has ``most`` bytes. Null payloads are no records; a partition
+    without any gives no file."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        body = [frame(bytes(x)) for p in parts for x in p["payload"]]
-        yield pd.DataFrame({"content": [MAGIC + b"".join(body)]})
+        part, i = TaskContext.get().partitionId(), 0
+        body: list[bytes] = []
+        size = 0
+
+        def closed() -> pd.DataFrame:
+            return pd.DataFrame({"segment": [f"wal-{part:06d}-{i:010d}.log"], "content": [MAGIC + b"".join(body)]})
+
+        for p in parts:
+            for x in p["payload"]:
+                body.append(frame(bytes(x)))
+                size += len(body[-1])
+                if size >= most:
+                    yield closed()
+                    body, size, i = [], 0, i + 1
+        if body:
+            yield closed()
+
+    return df.where("payload IS NOT NULL").sortWithinPartitions(order).select("payload").mapInPandas(run, "segment string, content binary")
+
+
+def write_records(df: DataFrame, path: str, order: str, most: int = 16 << 20) -> None:
+    """Write ``pack_records`` of ``df`` as a Parquet table of files, which ``read_records`` reads as ``packed``."""
+    pack_records(df, order, most).write.mode("errorifexists").parquet(path)
+
+
+def parse_replies(df: DataFrame, column: str = "data") -> DataFrame:
+    """(row, ordinal, path, kind, value, status) of each stream of replies; a null stream has none."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for row, data in zip(p["row"], p[column], strict=True):
+                found = replies(bytes(data or b""))
+                while rows := [(row, *r) for r in itertools.islice(found, 4096)]:
+                    yield pd.DataFrame(rows, columns=["row", "ordinal", "path", "kind", "value", "status"])
 
-    df.sortWithinPartitions(order).select("payload").mapInPandas(run, "content binary").write.mode("errorifexists").parquet(path)
+    return df.select("row", column).mapInPandas(run, "row long, ordinal long, path array<int>, kind string, value binary, status string")
 
 
 def parse_commands(df: DataFrame, column: str = "data") -> DataFrame:

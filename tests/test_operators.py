@@ -82,6 +82,30 @@ def test_record_files(spark, tmp_path):
     assert [r["status"] for r in records.read_records(spark, str(tmp_path)).orderBy("ordinal").collect()] == ["ok", "ok", "ok", "torn"]
 
 
+def test_written_records(spark, tmp_path):
+    """Files are closed by size, keep the order of a partition, and are read whole; nulls are no records."""
+    rows = [(i, bytes([i % 256, 13, 10]) * (i % 5)) for i in range(300)]
+    df = spark.createDataFrame([*rows, (300, None)], "i long, payload binary").repartition(3, "i")
+    records.write_records(df, str(tmp_path / "log"), "i", 512)
+    got = records.read_records(spark, str(tmp_path / "log"), packed=True).orderBy("segment", "ordinal").collect()
+    assert sorted(bytes(r["payload"]) for r in got if r["status"] == "ok") == sorted(x for _, x in rows)
+    assert len({r["segment"] for r in got}) > 3 and {r["status"] for r in got} == {"ok", "end"}
+    assert records.pack_records(df.limit(0), "i").count() == 0
+    assert records.scan_records(spark.createDataFrame([("a", None)], "segment string, content binary")).first()["status"] == "torn"
+
+
+def test_replies():
+    data = b"+OK\r\n*2\r\n*0\r\n$2\r\n\r\n\r\n:-7\r\n*-1\r\n"
+    got = list(records.replies(data))
+    assert [(r[0], r[1], r[2]) for r in got] == [(0, [], "simple"), (1, [], "array"), (1, [0], "array"), (1, [1], "bulk"), (2, [], "int"), (3, [], "null")]
+    assert got[3][3] == b"\r\n" and got[4][3] == b"-7"
+    for cut in range(1, len(data)):
+        assert all(r[4] == "ok" for r in list(records.replies(data[:cut]))[:-1]) and list(records.replies(data[:cut]))[-1][4] in ("ok", "incomplete")
+    for bad in (b"?x\r\n", b":x\r\n", b"$-2\r\n", b"$1\r\nabc\r\n"):
+        assert list(records.replies(bad))[-1][4] == "error"
+    assert len(list(records.replies(b"*1\r\n" * 3000 + b":1\r\n"))) == 3001
+
+
 def test_commands(spark):
     data = b"*3\r\n$3\r\nSET\r\n$1\r\nk\r\n$2\r\n\r\n\r\nPING x\r\n"
     assert [s for _, s in records.commands(data)] == ["ok", "ok"]
