@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keep, small_side, table
+from .common import components, keep, release, small_side, table
 from .vectors import VALID, classes, matrix
 
 #: Rows that fit the clusters, rows aimed at in a shard, most clusters.
@@ -19,6 +22,11 @@ LARGE, BLOCK = 8192, 4096
 #: Room for rounding in the bounds that say where a guest can have a pair.
 SLACK = 1e-6
 AUDIT = 200
+#: Rows with vectors that are shuffled at once, if the table has fewer; else as many as it has.
+ROUND = 200_000
+#: Rows aimed at in a bucket of a hashed table; the probability that a pair at the limit meets in
+#: none, the pairs that each table's is measured on, and most tables.
+BUCKET, MISS, TRIED, TABLES = 3000, 1e-6, 20_000, 200
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -158,17 +166,72 @@ def guest_of(v: np.ndarray, home: np.ndarray, c: np.ndarray, reach: np.ndarray,
     return inside & (own - s <= np.sqrt(max(0.0, 2 - 2 * near)) * apart + SLACK) & (np.arange(len(c))[None] < home[:, None])
 
 
+def bucket(v: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The bucket of each vector in a table: which of its directions, or their opposites, is the
+    nearest, for each of the table's hashes (hash, dimension, direction)."""
+    out = np.zeros(len(v), np.int64)
+    for w in hashes:
+        s = v @ w
+        at = np.abs(s).argmax(1)
+        out = out * (2 * w.shape[1]) + 2 * at + (s[np.arange(len(v)), at] > 0)
+    return out
+
+
+def hashed_tables(dim: int, k: int, near: float) -> list[np.ndarray] | None:
+    """Tables of about ``k`` buckets, so many that a pair with a cosine of ``near`` meets in none with a
+    probability of at most ``MISS``: the product of the shares of random pairs that each table parts.
+    None if ``TABLES`` are too few. Directions are random and each table has its own, so this holds
+    for a pair whatever the other vectors are, and nearer pairs meet more often."""
+    r = np.random.default_rng(5)
+    tried = min(TRIED, max(1000, (1 << 22) // dim))
+    x, y = r.normal(size=(2, tried, dim)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= x * (x * y).sum(1)[:, None]
+    y = near * x + math.sqrt(max(0.0, 1 - near**2)) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-30)
+    hashes = max(1, math.ceil(math.log(max(k, 2)) / math.log(128)))
+    width = max(1, math.ceil(k ** (1 / hashes) / 2))
+    out: list[np.ndarray] = []
+    missed = 1.0
+    while missed > MISS:
+        if len(out) == TABLES:
+            return None
+        out.append(np.stack([np.hstack([np.linalg.qr(r.normal(size=(dim, dim)))[0] for _ in range(-(-width // dim))])[:, :width] for _ in range(hashes)]))
+        missed *= (bucket(x, out[-1]) != bucket(y, out[-1])).mean()
+    return out
+
+
+def dense(v: np.ndarray, near: float, first: np.ndarray | None = None):
+    """Index pairs of rows within ``near``, a few rows at a time: all, or those of one row in ``first`` and one not."""
+    a, b = (np.arange(len(v)),) * 2 if first is None else (np.flatnonzero(first), np.flatnonzero(~first))
+    for s in range(0, len(a), 512):
+        if first is None:
+            x, y = np.nonzero(np.triu(v[s : s + 512] @ v[s:].T >= near, 1))
+            yield x + s, y + s
+        else:
+            x, y = np.nonzero(v[a[s : s + 512]] @ v[b].T >= near)
+            yield a[s + x], b[y]
+
+
 def near_duplicates(rows: DataFrame, near: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept, audit_recall) of every row of (vec_id, embedding).
 
     Clusters come from a bounded sample (``SAMPLE`` vectors); each class of equal vectors is at home
-    in the shard of its nearest centre, and a guest in every earlier shard that can hold a vector in
-    range by ``guest_of``, so that no placement loses a pair; a pair counts in the earlier home of
-    its two. Every shard builds a pruned graph of its own vectors and searches it for each of them;
-    one of more than ``LARGE``, where very many vectors lie together, is compared exactly in blocks,
-    and so are guests. Vectors without any clusters are guests nearly everywhere: all pairs are
-    compared then. audit_recall is the share of links found of ``AUDIT`` vectors compared with all;
-    where the graphs miss one of those, all shards are compared exactly instead.
+    in the shard of its nearest centre. Every shard builds a pruned graph of its own vectors and
+    searches it for each of them; one of more than ``LARGE``, where very many vectors lie together, is
+    compared exactly in blocks. Pairs of different homes are found in one of two ways. Where vectors
+    have clusters, a vector is a guest in every earlier shard that can hold a vector in range by
+    ``guest_of``, and is compared exactly there; a pair counts in the earlier home of its two. Where
+    they have none, guests would be nearly everywhere; so if they are more than the rows (and than
+    ``ROUND``), vectors meet in the buckets of ``hashed_tables`` instead, are compared exactly in each, and
+    a pair counts in the first table that it meets in. A pair is then lost with a probability of
+    about ``MISS`` at the limit, and of less the nearer it is.
+
+    Vectors are shuffled in rounds of as many rows as there are (or ``ROUND``), whose files are deleted
+    before the next, so that disk stays in proportion to the input.
+
+    audit_recall is the share of links found of ``AUDIT`` vectors compared with all. Where one of those
+    is missed, shards are compared exactly instead of by their graphs, and if one is missed still,
+    all pairs are.
 
     Defined results: invalid vectors (null, zero, null or non-finite components, an odd length)
     have no links and are their own component; so is a null id, which is kept null. Every row
@@ -176,10 +239,11 @@ def near_duplicates(rows: DataFrame, near: float = 0.9) -> DataFrame:
     not, and rows with equal id and different vectors have each their own links and component (both
     are kept if both components start with that id). Other columns are ignored.
     """
-    members, own, dim = classes(rows)
+    members, own, dim = classes(rows, lean=True)
     n = own.count()
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("audit_recall"))
+    kind = own.schema["v"].dataType.simpleString()
     sample = own.select("v", "rep").orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toArrow()
     c = centres(unit(matrix(sample.column(0), dim)), min(CLUSTERS, -(-n // SHARD), len(sample)))
 
@@ -187,73 +251,172 @@ def near_duplicates(rows: DataFrame, near: float = 0.9) -> DataFrame:
         for p in parts:
             for a in range(0, p.num_rows, 1024):
                 q = p.slice(a, 1024)
-                s = unit(matrix(q.column(2), dim)) @ c.T
-                home = s.argmax(1)
-                yield pa.RecordBatch.from_arrays([*q.columns, pa.array(home, pa.int32()), pa.array(s.max(1))], ["rep", "copies", "v", "home", "sim"])
+                s = unit(matrix(q.column(3), dim)) @ c.T
+                yield pa.RecordBatch.from_arrays([*q.columns, pa.array(s.argmax(1), pa.int32()), pa.array(s.max(1))], ["rep", "low", "copies", "v", "home", "sim"])
 
-    homes = keep(own.select("rep", "copies", "v").mapInArrow(place, "rep long, copies long, v array<double>, home int, sim double"), "homes")
+    homes = keep(own.select("rep", "low", "copies", "v").mapInArrow(place, f"rep long, low long, copies long, v {kind}, home int, sim double"), "homes")
+    release(own)
     reach = np.zeros(len(c))
     size = np.zeros(len(c), np.int64)
     for r in homes.groupBy("home").agg(F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n")).collect():  # at most CLUSTERS rows
         reach[r["home"]], size[r["home"]] = np.arccos(np.clip(r["sim"], -1, 1)) + np.arccos(np.clip(near, -1, 1)) + SLACK, r["n"]
     used = size > 0
+    room = max(n, ROUND)
+    placed = homes.select("rep", "copies", "v", "home")
+
+    def guests(q):
+        return guest_of(unit(matrix(q.column(2), dim)), q.column(3).to_numpy(), c, reach, near) & used[None]
+
+    def tally(parts):
+        many = np.zeros(len(c), np.int64)
+        for p in parts:
+            for a in range(0, p.num_rows, 1024):
+                many += guests(p.slice(a, 1024)).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(many), pa.int32()), pa.array(many[many > 0])], ["shard", "n"])
 
     def invite(parts):
         for p in parts:
             for a in range(0, p.num_rows, 1024):
                 q = p.slice(a, 1024)
-                home = q.column(3).to_numpy()
-                at, shard = np.nonzero(guest_of(unit(matrix(q.column(2), dim)), home, c, reach, near) & used[None])
+                at, shard = np.nonzero(guests(q))
                 for x in range(0, len(at), 4096):
-                    yield pa.RecordBatch.from_arrays([*[q.column(k).take(pa.array(at[x : x + 4096])) for k in range(3)], pa.array(shard[x : x + 4096], pa.int32())], ["rep", "copies", "v", "shard"])
-
-    guests = keep(homes.mapInArrow(invite, "rep long, copies long, v array<double>, shard int"), "guests")
-    placed = homes.select("rep", "copies", "v", F.col("home").alias("shard"), F.lit(True).alias("own")).union(guests.withColumn("own", F.lit(False)))
-    many = {r["shard"]: r["count"] for r in guests.groupBy("shard").count().collect()}  # at most CLUSTERS rows
-    blocks = [(k, int(-(-n_ // BLOCK)) if n_ > LARGE else 1, -(-many.get(k, 0) // BLOCK)) for k, n_ in enumerate(size.tolist()) if n_]
-    cut = rows.sparkSession.createDataFrame(blocks, "_s int, blocks int, more int")
-    todo = placed.join(F.broadcast(cut), F.col("shard") == F.col("_s"))
-    # own rows are blocks 0 to blocks - 1, guests the ``more`` after them; guests don't meet each other
-    block = F.when(F.col("own"), F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(F.col("blocks") + F.pmod(F.xxhash64("rep"), F.col("more"))).cast("int")
-    last = F.col("blocks") - 1 + F.when(F.col("own"), F.col("more")).otherwise(0)
-    todo = todo.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), last)))
-    todo = todo.select("rep", "copies", "v", "shard", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "blocks")
-
-    def pairs(exact: bool):
-        def shard(key, p):
+                    yield pa.RecordBatch.from_arrays([*[q.column(k).take(pa.array(at[x : x + 4096])) for k in range(4)], pa.array(shard[x : x + 4096], pa.int32())], ["rep", "copies", "v", "home", "part"])
+
+    many = {r["shard"]: r["n"] for r in placed.mapInArrow(tally, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # at most CLUSTERS rows
+    clustered = sum(many.values()) <= room
+    tables = [] if clustered else hashed_tables(dim, -(-n // BUCKET), near)
+
+    def compared(todo: DataFrame, total: int, exact: bool, hashed: bool = False) -> DataFrame:
+        """Links counted in each group of (t, part, i, j), and the lowest vector that each one reaches;
+        ``total`` rows, in rounds."""
+
+        def group(key, p):
+            t, _, i, j = (k.as_py() for k in key)
             v = unit(matrix(p.column("v"), dim))
-            rep, copies = (p.column(x).to_numpy() for x in ("rep", "copies"))
+            rep, copies, home, block = (p.column(x).to_numpy() for x in ("rep", "copies", "home", "block"))
             order = np.argsort(rep)
-            v, rep, copies = v[order], rep[order], copies[order]
-            if key[1].as_py() != key[2].as_py():
-                first = p.column("block").to_numpy()[order] == key[1].as_py()
-                a, b = np.flatnonzero(first), np.flatnonzero(~first)
-                x, y = np.nonzero(v[a] @ v[b].T >= near)
-                x, y = a[x], b[y]
-            elif exact or p.column("blocks")[0].as_py() > 1:
-                x, y = np.hstack([np.add(np.nonzero(np.triu(v[a : a + 1024] @ v[a:].T >= near, 1)), a) for a in range(0, len(v), 1024)])
+            v, rep, copies, home, block = v[order], rep[order], copies[order], home[order], block[order]
+            if i != j or exact or hashed or p.column("blocks")[0].as_py() > 1:
+                found = dense(v, near, block == i if i != j else None)
             else:
-                x, y = np.nonzero(np.triu(range_search(v, robust_graph(v), near), 1)) if len(v) > 1 else np.zeros((2, 0), int)
-            links = np.bincount(x, copies[y], len(v)) + np.bincount(y, copies[x], len(v))
-            return pa.table({"rep": rep, "links": links.astype(np.int64), "root": rep[_roots(len(v), x, y)]})
-
-        return shard
-
-    for exact in (False, True):
-        found = keep(todo.groupBy("shard", "i", "j").applyInArrow(pairs(exact), "rep long, links long, root long"), "found")
-        links = keep(found.groupBy("rep").agg(F.sum("links").alias("links")).join(own.select("rep", "copies"), "rep").select("rep", (F.col("links") + F.col("copies") - 1).alias("n_links")), "links")
-        recall = _audit(own, links, dim, near)
+                found = [np.nonzero(np.triu(range_search(v, robust_graph(v), near), 1))] if len(v) > 1 else []
+            links, low = np.zeros(len(v)), [np.zeros((2, 0), np.int64)]
+            for x, y in found:
+                if hashed:
+                    x, y = unmet(v, home, x, y, tables[:t])
+                if len(x):
+                    links += np.bincount(x, copies[y], len(v)) + np.bincount(y, copies[x], len(v))
+                    root = _roots(len(v), x, y)
+                    low.append(np.stack([at := np.flatnonzero(root != np.arange(len(v))), root[at]]))
+            root, some = _roots(len(v), *np.hstack(low)), links > 0
+            return pa.table({"rep": rep[some], "links": links[some].astype(np.int64), "root": rep[root][some]})
+
+        rounds, out = max(1, -(-total // room)), []
+        for r in range(rounds):
+            turn = todo if rounds == 1 else todo.where(F.pmod(F.xxhash64("t", "part", "i", "j"), F.lit(rounds)) == r)
+            out.append(keep(turn.groupBy("t", "part", "i", "j").applyInArrow(group, "rep long, links long, root long"), "found"))
+            out = _one(out) if len(out) == 32 else out
+        return _one(out)[0]
+
+    def in_blocks(dealt: DataFrame) -> DataFrame:
+        """``dealt`` (with t, part, own, blocks, more) once for each pair of blocks it is in: own rows are blocks 0 to
+        blocks - 1, guests the ``more`` after them; guests don't meet each other."""
+        block = F.when(F.col("own"), F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(F.col("blocks") + F.pmod(F.xxhash64("rep"), F.col("more"))).cast("int")
+        last = F.col("blocks") - 1 + F.when(F.col("own"), F.col("more")).otherwise(0)
+        dealt = dealt.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+        return dealt.select("rep", "copies", "v", "home", "t", "part", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "blocks")
+
+    def in_shards(exact: bool) -> DataFrame:
+        dealt = placed.withColumn("part", F.col("home")).withColumn("own", F.lit(True))
+        cut = [(k, int(-(-n_ // BLOCK)) if n_ > LARGE else 1, -(-many.get(k, 0) // BLOCK) if clustered else 0) for k, n_ in enumerate(size.tolist()) if n_]
+        if clustered:
+            dealt = dealt.union(placed.mapInArrow(invite, f"rep long, copies long, v {kind}, home int, part int").withColumn("own", F.lit(False)))
+        dealt = dealt.withColumn("t", F.lit(0)).join(F.broadcast(rows.sparkSession.createDataFrame(cut, "part int, blocks int, more int")), "part")
+        return compared(in_blocks(dealt), sum(int(size[k]) * (b + m) + (many.get(k, 0) * b if clustered else 0) for k, b, m in cut), exact)
+
+    def in_tables() -> list[DataFrame]:
+        def count(parts):
+            total = {}
+            for p in parts:
+                v = unit(matrix(p.column(2), dim)) if p.num_rows else np.zeros((0, dim))
+                for t, w in enumerate(tables):
+                    for b, k in zip(*np.unique(bucket(v, w), return_counts=True), strict=True):
+                        total[t, b] = total.get((t, b), 0) + k
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in total], pa.int32()), pa.array([x[1] for x in total], pa.int64()), pa.array(list(total.values()), pa.int64())], ["t", "part", "n"])
+
+        full = placed.mapInArrow(count, "t int, part long, n long").groupBy("t", "part").agg(F.sum("n").alias("n")).where(F.col("n") > LARGE)
+        full = keep(full.select("t", "part", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "full")
+        more = {r["t"]: r["rows"] for r in full.groupBy("t").agg(F.sum(F.col("n") * (F.col("blocks") - 1)).alias("rows")).collect()}  # a row a table
+        at_once = max(1, room // n)
+
+        def dealt(some):
+            def hash_(parts):
+                for p in parts:
+                    for a in range(0, p.num_rows, 1024):
+                        q = p.slice(a, 1024)
+                        v = unit(matrix(q.column(2), dim))
+                        for t in some:
+                            yield pa.RecordBatch.from_arrays([*q.columns, pa.array(np.full(len(v), t), pa.int32()), pa.array(bucket(v, tables[t]))], ["rep", "copies", "v", "home", "t", "part"])
+
+            return placed.mapInArrow(hash_, f"rep long, copies long, v {kind}, home int, t int, part long")
+
+        out = []
+        for a in range(0, len(tables), at_once):
+            some = range(a, min(a + at_once, len(tables)))
+            extra = sum(more.get(t, 0) for t in some)
+            todo = dealt(some).withColumn("own", F.lit(True)).withColumn("more", F.lit(0))
+            todo = todo.join(small_side(full.drop("n")), ["t", "part"], "left").fillna(1, ["blocks"]) if extra else todo.withColumn("blocks", F.lit(1))
+            out.append(compared(in_blocks(todo), n * len(some) + extra, True, True))
+        release(full)
+        return out
+
+    def everywhere() -> DataFrame:
+        blocks = -(-n // BLOCK)
+        dealt = placed.select("*", F.lit(0).alias("t"), F.lit(0).alias("part"), F.lit(True).alias("own"), F.lit(blocks).alias("blocks"), F.lit(0).alias("more"))
+        return compared(in_blocks(dealt), n * blocks, True)
+
+    apart = in_tables() if tables else []
+    for way in ("graphs", "shards", "all") if tables is not None else ("all",):
+        found = functools.reduce(DataFrame.union, [everywhere()] if way == "all" else [in_shards(way == "shards"), *apart])
+        links = homes.select("rep", "low", "copies").join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left")
+        links = keep(links.select("rep", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "links")
+        recall = _audit(homes, links, dim, near)
         if recall == 1:
             break
+    release(homes)
     comps = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    got = keep(links.join(comps, links.rep == comps.node, "left").select("rep", "n_links", F.coalesce("component", "rep").alias("component")), "of")
-    lows = own.select("rep", "low").join(got.select("rep", "component"), "rep").groupBy("component").agg(F.min("low").alias("component_id"))
+    got = keep(links.join(comps, links.rep == comps.node, "left").select("rep", "low", "n_links", F.coalesce("component", "rep").alias("component")), "of")
+    lows = got.groupBy("component").agg(F.min("low").alias("component_id"))
     named = members.join(got.join(lows, "component"), "rep").select("vec_id", "n_links", "component_id")
     invalid = rows.where(~F.coalesce(F.expr(f"vec_id IS NOT NULL AND size(embedding) = {dim} AND {VALID}"), F.lit(False)))
     out = named.union(invalid.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), (F.col("vec_id") + F.lit(0)).cast("long").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).withColumn("audit_recall", F.lit(recall))
 
 
+def unmet(v: np.ndarray, home: np.ndarray, x: np.ndarray, y: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs x - y those with different homes that share no bucket of ``tables``."""
+    of = home
+    for w in [None, *tables]:
+        if w is not None:
+            some = np.zeros(len(v), bool)
+            some[x] = some[y] = True
+            of = np.full(len(v), -1)
+            of[some] = bucket(v[some], w)
+        x, y = x[of[x] != of[y]], y[of[x] != of[y]]
+        if not len(x):
+            break
+    return x, y
+
+
+def _one(kept: list[DataFrame]) -> list[DataFrame]:
+    """Kept tables as a single one."""
+    if len(kept) == 1:
+        return kept
+    whole = keep(functools.reduce(DataFrame.union, kept), "found")
+    release(*kept)
+    return [whole]
+
+
 def _audit(own: DataFrame, links: DataFrame, dim: int, near: float) -> float:
     """Links found / links there, of a bounded sample of classes compared with all classes."""
     some = own.select("rep", "v", "copies").orderBy(F.xxhash64(F.col("rep"), F.lit(1))).limit(AUDIT).toArrow()

@@ -555,6 +555,46 @@ def test_pipeline(spark):
     assert corpus_pipeline.good(spark, docs, DIR).columns == docs.columns
 
 
+def test_near_vectors_keep_to_their_disk(spark, monkeypatch):
+    """Vectors without clusters over 80 centres, a group of near copies larger than a block, and pairs near the
+    limit: kept tables stay in proportion to the input, and every link is there."""
+    import os
+
+    from chronokey.llm import common
+
+    for name, value in (("SHARD", 30), ("LARGE", 100), ("BLOCK", 60), ("ROUND", 0), ("BUCKET", 60)):
+        monkeypatch.setattr(near_vectors, name, value, raising=False)
+    base = common.shared_dir(spark).removeprefix("file:")
+    used = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(base) for f in files if f.endswith(".parquet"))
+    most, write = [0], common.keep
+
+    def keep(df, name):
+        out = write(df, name)
+        most.append(used())
+        return out
+
+    r = np.random.default_rng(9)
+    x = r.normal(size=(2400, 32))
+    other = r.normal(size=(300, 32))
+    other -= x[:300] * ((other * x[:300]).sum(1) / (x[:300] ** 2).sum(1))[:, None]
+    other *= np.linalg.norm(x[:300], axis=1, keepdims=True) / np.linalg.norm(other, axis=1, keepdims=True)
+    x[300:600] = 0.905 * x[:300] + math.sqrt(1 - 0.905**2) * other
+    x[600:800] = x[600] + 0.2 * r.normal(size=(200, 32))
+    x = np.float64(np.float32(x))
+    df = common.keep(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(2), "input")
+    one = sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(df.kept_at.removeprefix("file:")) for f in files if f.endswith(".parquet"))
+    before = used()
+    monkeypatch.setattr(near_vectors, "keep", keep)
+    got = near_vectors.near_duplicates(df).toPandas().set_index("vec_id").sort_index()
+    assert max(most) - before <= 4 * one
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert near[600:800, 600:800].sum() > 10_000 and near[:300, 300:600].sum() >= 300
+    assert (got.n_links == near.sum(1)).all() and (got.audit_recall == 1).all()
+    assert got.component_id.to_dict() == components(range(2400), [(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True)])
+
+
 def repeats(spark):
     """Ids that repeat with other vectors, rows that repeat whole, and a column more; (id, vector) of each row."""
     r = np.random.default_rng(8)
