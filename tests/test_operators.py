@@ -4,6 +4,7 @@ import math
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,27 @@ def test_replies():
     assert len(list(records.replies(b"*1\r\n" * 3000 + b":1\r\n"))) == 3001
 
 
+def test_batches_across_streams(spark):
+    """Many short streams or files leave Python in a few batches, large values in several."""
+
+    class Asked:
+        """Stands for a table: what its Python function yields for one batch."""
+
+        def __init__(self, **columns):
+            self.batch = pa.RecordBatch.from_pydict(columns)
+
+        select = lambda self, *names: self
+        mapInArrow = lambda self, f, schema: list(f(iter([self.batch])))
+        mapInPandas = lambda self, f, schema: list(f(iter([self.batch.to_pandas()])))
+
+    for out, n in ((records.parse_replies(Asked(row=[*range(3000)], data=[b"+OK\r\n:1\r\n"] * 3000)), 6000), (records.scan_records(Asked(segment=["a"] * 3000, content=[records.MAGIC] * 3000)), 3000)):
+        assert sum(map(len, out)) == n and len(out) == 1
+    rows = [(i, bytes(records.SEND_BYTES // 2)) for i in range(5)]
+    assert [b.num_rows for b in records._sent(iter(rows), 1, pa.schema([("i", pa.int64()), ("v", pa.binary())]))] == [2, 2, 1]
+    odd = spark.createDataFrame([(1, None), (2, bytearray(b"")), (None, bytearray(b":x\r\n")), (3, bytearray(b"*1\r\n$-1\r\n"))], "row long, data binary")
+    assert sorted((str(r["row"]), r["path"], r["kind"], r["status"]) for r in records.parse_replies(odd).collect()) == [("3", [], "array", "ok"), ("3", [0], "null", "ok"), ("None", [], None, "error")]
+
+
 def test_commands(spark):
     data = b"*3\r\n$3\r\nSET\r\n$1\r\nk\r\n$2\r\n\r\n\r\nPING x\r\n"
     assert [s for _, s in records.commands(data)] == ["ok", "ok"]
