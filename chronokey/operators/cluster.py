@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ring import owners
+from .ring import located, owners
 
 
 def sizes(held: DataFrame) -> DataFrame:
@@ -20,8 +20,8 @@ def keys(held: DataFrame, pattern: str) -> DataFrame:
 
 def routed(requests: DataFrame, ring: DataFrame, old_ring: DataFrame) -> DataFrame:
     """``requests`` (key, ...) with the owner ``now`` and, while a move is under way, ``before``."""
-    now = owners(requests, ring).withColumnRenamed("owner", "now").drop("hash")
-    return owners(now, old_ring).withColumnRenamed("owner", "before").drop("hash")
+    now = owners(requests, ring).withColumnRenamed("owner", "now")
+    return located(now, old_ring).withColumnRenamed("owner", "before").drop("hash")
 
 
 def placed(requests: DataFrame, held: DataFrame) -> DataFrame:

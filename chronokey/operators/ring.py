@@ -41,13 +41,26 @@ def arcs(ring: DataFrame) -> DataFrame:
     return inner.unionByName(under).unionByName(over).where("low < high")
 
 
-def owners(keys: DataFrame, ring: DataFrame) -> DataFrame:
-    """``keys`` (key, ...) with ``hash`` and ``owner``: an equality join on the first digits of the
-    hash, of which every arc lists those it touches, and a range check."""
+def hashed(keys: DataFrame) -> DataFrame:
+    """``keys`` (key, ...) with ``hash``."""
+    return keys.withColumn("hash", key_hash(F.col("key")))
+
+
+def located(keys: DataFrame, ring: DataFrame) -> DataFrame:
+    """Hashed keys with ``owner``: an equality join on the first digits of the hash, of which every
+    arc lists those it touches, and a range check. The arcs are what is broadcast. Neither condition
+    lets Spark infer that the hash isn't null: it would be computed a second time to filter by that,
+    in a Python worker more for each task."""
     digit = lambda c: F.conv(F.rpad(F.substring(c, 1, DIGITS), DIGITS, "0"), 16, 10).cast("int")
     a = arcs(ring).withColumn("slot", F.explode(F.sequence(F.when(F.col("low") == "", 0).otherwise(digit(F.col("low"))), digit(F.col("high")))))
-    k = keys.withColumn("hash", key_hash(F.col("key"))).withColumn("slot", digit(F.col("hash")))
-    return k.join(a, "slot").where("hash > low AND hash <= high").select(*keys.columns, "hash", F.col("node").alias("owner"))
+    k = keys.withColumn("slot", F.coalesce(digit(F.col("hash")), F.lit(-1)))
+    inside = F.coalesce((F.col("hash") > F.col("low")) & (F.col("hash") <= F.col("high")), F.lit(False))
+    return k.join(F.broadcast(a), "slot").where(inside).select(*keys.columns, F.col("node").alias("owner"))
+
+
+def owners(keys: DataFrame, ring: DataFrame) -> DataFrame:
+    """``keys`` (key, ...) with ``hash`` and ``owner``."""
+    return located(hashed(keys), ring)
 
 
 def shares(ring: DataFrame) -> DataFrame:
@@ -58,8 +71,8 @@ def shares(ring: DataFrame) -> DataFrame:
 
 def moves(keys: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """(key, before, after) of all keys."""
-    a = owners(keys.select("key"), before).select("key", F.col("owner").alias("before"))
-    return owners(a, after).select("key", "before", F.col("owner").alias("after"))
+    a = owners(keys.select("key"), before).withColumnRenamed("owner", "before")
+    return located(a, after).select("key", "before", F.col("owner").alias("after"))
 
 
 def preferences(ring: DataFrame, n: int) -> DataFrame:

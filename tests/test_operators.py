@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import struct
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronokey.functions import hashing, scalars
-from chronokey.operators import kv, limiter, loadstats, lru, ring
+from chronokey.operators import cluster, kv, limiter, loadstats, lru, ring
 from chronokey.sources import records
 from chronokey.streaming.events import acquire_stream
 
@@ -165,6 +166,17 @@ def test_ring_weights_and_moves(spark):
     assert ring.owners(keys, one).count() == 50 and abs(ring.shares(one).first()["share"] - 1) < 1e-9
 
 
+def test_keys_are_hashed_once(spark):
+    """Keys are hashed in one Python step for any number of rings, the arcs are broadcast, and null keys have no owner."""
+    a, b = (ring.points(ring.nodes(spark, names), 5) for names in (["x", "y"], ["x", "y", "z"]))
+    keys = spark.createDataFrame([("k%d" % i,) for i in range(50)] + [("user:{7}",), (None,)], "key string")
+    for df, joins in ((ring.owners(keys, a), 1), (ring.moves(keys, a, b), 2), (cluster.routed(keys, b, a), 2)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"ArrowEvalPython \[_murmur\(cast\(CASE", plan)) == 1 and plan.count("BuildRight") == plan.count("BroadcastHashJoin") == joins
+        assert df.count() == 51
+    assert {r["key"]: r["before"] for r in ring.moves(keys, a, b).collect()} == {r["key"]: r["owner"] for r in ring.owners(keys, a).collect()}
+
+
 def test_mann_whitney(spark):
     def p(a, b):
         df = spark.createDataFrame([("a", float(x)) for x in a] + [("b", float(x)) for x in b], "g string, x double")
