@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Accesses of a chunk, of all shards together.
+CHUNK_ROWS = 1 << 18
+
 
 def shard_of(key: Column, shards: int) -> Column:
     """Placement by 32 bits of MD5 (a stable hash of our own)."""
@@ -27,20 +30,89 @@ def clamped_shards(capacity: int, shards: int, least: int = 1024) -> int:
     return min(shards, max(1, capacity // least)) if capacity > 0 else shards
 
 
+def _cut(accesses: DataFrame, rows: int) -> tuple[Column, int]:
+    """The chunk of a row, 0 first, by ranges of seq that hold about ``rows`` rows each; how many chunks."""
+    n = -(-accesses.count() // rows)
+    if n < 2:
+        return F.lit(0), 1
+    at = accesses.agg(F.percentile_approx("seq", [i / n for i in range(1, n)], 10 * n)).first()[0]
+    cuts = sorted(set(at or []))
+
+    def below(lo: int, hi: int) -> str:
+        mid = (lo + hi) // 2
+        return str(lo) if lo == hi else f"IF(seq <= {cuts[mid]}, {below(lo, mid)}, {below(mid + 1, hi)})"
+
+    return F.expr(f"IF(seq IS NULL, 0, {below(0, len(cuts))})"), len(cuts) + 1
+
+
+def _latest(rows: DataFrame, room: int) -> DataFrame:
+    """(shard, chunk, seq, key): the ``room`` keys accessed last in each chunk, by their last access."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, seen = None, set()
+        for p in parts:
+            out = []
+            for row in p.itertuples(index=False, name=None):
+                if row[:2] != at:
+                    at, seen = row[:2], set()
+                if len(seen) < room and row[3] not in seen:
+                    seen.add(row[3])
+                    out.append(row)
+            yield pd.DataFrame(out, columns=p.columns)
+
+    down = rows.sortWithinPartitions("shard", "chunk", F.desc("seq"), F.desc("key"))
+    return down.mapInPandas(run, "shard int, chunk int, seq long, key string")
+
+
+def _starts(latest: DataFrame, room: int, chunks: int) -> DataFrame:
+    """(shard, chunk, seq, key): what a shard's cache holds at the start of each chunk but the first, by
+    last accesses. A shard is one task, of ``room`` rows a chunk."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, chunk, held = None, 0, OrderedDict()
+
+        def until(end: int) -> Iterator[pd.DataFrame]:
+            for c in range(chunk + 1, end + 1):
+                yield pd.DataFrame({"shard": shard, "chunk": c, "seq": list(held.values()), "key": list(held)})
+
+        for p in parts:
+            for s, c, seq, key in p.itertuples(index=False, name=None):
+                if s != shard:
+                    if shard is not None:
+                        yield from until(chunks - 1)
+                    shard, chunk, held = s, 0, OrderedDict()
+                if c != chunk:
+                    yield from until(c)
+                    chunk = c
+                held[key] = seq
+                held.move_to_end(key)
+                if len(held) > room:
+                    held.popitem(last=False)
+        if shard is not None:
+            yield from until(chunks - 1)
+
+    up = latest.repartition("shard").sortWithinPartitions("shard", "chunk", "seq", "key")
+    return up.mapInPandas(run, "shard int, chunk int, seq long, key string")
+
+
 def simulate(accesses: DataFrame, capacity: int, shards: int) -> DataFrame:
-    """(seq, key, shard, hit, evicted): cache-aside reads in order of seq, exact in each shard.
+    """(seq, key, shard, hit, evicted): cache-aside reads in order of seq, then key, exact in each
+    shard; a null key is in no cache.
 
-    A shard's accesses run in one task in order; the number of shards sets the tasks.
+    Accesses are cut into chunks by ranges of seq, each a task's work in order. A cache holds the keys
+    accessed last, so what it holds at the start of a chunk follows from the last keys of the chunks
+    before, and the chunks run side by side. A chunk has so many rows that those keys are few beside them.
     """
     n, room = per_shard(capacity, shards)
+    cut, chunks = _cut(accesses.select("seq"), max(CHUNK_ROWS, 16 * n * room))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, held = None, OrderedDict()
+        at, held = None, OrderedDict()
         for p in parts:
             hits, out = [], []
-            for s, key in zip(p["shard"], p["key"], strict=True):
-                if s != shard:
-                    shard, held = s, OrderedDict()
+            for *here, key, warm in zip(p["shard"], p["chunk"], p["key"], p["warm"], strict=True):
+                if here != at:
+                    at, held = here, OrderedDict()
                 hit, gone = key in held, None
                 if hit:
                     held.move_to_end(key)
@@ -48,12 +120,18 @@ def simulate(accesses: DataFrame, capacity: int, shards: int) -> DataFrame:
                     if len(held) >= room:
                         gone = held.popitem(last=False)[0]
                     held[key] = True
-                hits.append(hit)
-                out.append(gone)
-            yield p.assign(hit=hits, evicted=out)
-
-    rows = accesses.select("seq", "key", shard_of(F.col("key"), n).alias("shard"))
-    return rows.repartition("shard").sortWithinPartitions("shard", "seq").mapInPandas(run, "seq long, key string, shard int, hit boolean, evicted string")
+                if not warm:
+                    hits.append(hit)
+                    out.append(gone)
+            yield p.loc[~p["warm"], ["seq", "key", "shard"]].assign(hit=hits, evicted=out)
+
+    rows = accesses.select(shard_of(F.col("key"), n).alias("shard"), cut.cast("int").alias("chunk"), "seq", "key")
+    dealt = lambda df: df.repartitionById(chunks, "chunk") if chunks > 1 else df.repartition("shard")
+    warm = rows.withColumn("warm", F.lit(False))
+    if chunks > 1:
+        latest = _latest(dealt(rows.where((F.col("chunk") < chunks - 1) & F.col("key").isNotNull())), room)
+        warm = warm.unionByName(_starts(latest, room, chunks).withColumn("warm", F.lit(True)))
+    return dealt(warm).sortWithinPartitions("shard", "chunk", "seq", "key").mapInPandas(run, "seq long, key string, shard int, hit boolean, evicted string")
 
 
 class Store:

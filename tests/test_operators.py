@@ -138,6 +138,33 @@ def test_commands(spark):
     assert records.parse_commands(df).count() == 2
 
 
+def test_cache_in_chunks(spark, monkeypatch):
+    """Hits and evictions against one cache in order: chunks with and without a shard's keys, ties, null keys, sparse seqs."""
+    monkeypatch.setattr(lru, "CHUNK_ROWS", 100, raising=False)
+    r = random.Random(3)
+    rows = [(i * i // 2 if i < 300 else 10**12 + i // 2, r.choice([None, *"abcdefghijklmnopqrstuvwxyz"[: 6 + i // 50]])) for i in range(1000)]
+    df = spark.createDataFrame(rows, "seq long, key string").repartition(5)
+    for capacity, shards in ((1, 1), (5, 1), (6, 3), (30, 2)):
+        got = lru.simulate(df, capacity, shards)
+        assert got.rdd.getNumPartitions() == (3 if capacity == 30 else 10)
+        got = got.collect()
+        n, room = lru.per_shard(capacity, shards)
+        held, want = {}, []
+        at = {x["key"]: x["shard"] for x in got}
+        for seq, key in sorted(rows, key=lambda x: (x[0], x[1] or "")):
+            cache, hit, gone = held.setdefault(at[key], []), False, None
+            if key is not None:
+                hit = key in cache
+                if hit:
+                    cache.remove(key)
+                elif len(cache) >= room:
+                    gone = cache.pop(0)
+                cache.append(key)
+            want.append((seq, key, at[key], hit, gone))
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert lru.simulate(df.limit(0), 5, 1).count() == 0
+
+
 def test_store_deadlines():
     s = lru.Store(3)
     for k in "abc":
